@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,9 +105,6 @@ def linear_direct(samples: DataFrame, series: str, ridge: float = 1e-3) -> DataF
     Normal equations need window squared numbers a series; they are added up by grouped aggregation of the outer
     products, so only these sums, never the samples, are brought together.
     """
-    import numpy as np
-    import pandas as pd
-
     first = samples.select(F.size("x").alias("w"), F.size("y").alias("h")).first()
     if first is None:
         return samples.select(series, "sample", F.lit(1).alias("h"), F.lit(0.0).alias("pred"), F.lit(0.0).alias("actual"))

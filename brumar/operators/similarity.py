@@ -8,6 +8,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def token_overlap(a: Column, b: Column) -> list[Column]:
@@ -32,7 +33,7 @@ def rouge_n(df: DataFrame, row_id: str, a: str, b: str, n: int) -> DataFrame:
     return s.select(row_id, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F measure of the longest common subsequence."""
 
@@ -50,7 +51,7 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def bleu(a: pd.Series, b: pd.Series) -> pd.Series:
     """BLEU of up to four words with a brevity penalty; an order without a match counts 0.1 matches."""
 

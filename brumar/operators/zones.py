@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brumar.functions import text as X
 
@@ -87,20 +88,21 @@ def rewrite_brackets(text: str | None) -> str | None:
     return _BRACKET.sub(words, text)
 
 
-ZONE = "array<struct<raw:string,axis:string,zone:string,cardinal:string,start:int>>"
+_S, _D, _I = T.StringType(), T.DoubleType(), T.IntegerType()
+_array = lambda **fields: T.ArrayType(T.StructType([T.StructField(k, t) for k, t in fields.items()]))
 
 
-@F.pandas_udf(ZONE)
+@F.pandas_udf(_array(raw=_S, axis=_S, zone=_S, cardinal=_S, start=_I))
 def zones_of(text: pd.Series) -> pd.Series:
     return text.map(find_zones)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_S)
 def rewritten(text: pd.Series) -> pd.Series:
     return text.map(rewrite_brackets)
 
 
-@F.pandas_udf("array<struct<low:double,high:double,middle:double,place:int>>")
+@F.pandas_udf(_array(low=_D, high=_D, middle=_D, place=_I))
 def placed_intervals(text: pd.Series) -> pd.Series:
     """Intervals with the middle of their place; bracketed ones come before worded ones."""
     n, unit = r"(-?\d+(?:\.\d+)?)", r"\s*(?:°\s*[Cc]|deg\s*[Cc]|grade?|[Cc]\b)"

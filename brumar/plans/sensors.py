@@ -107,7 +107,7 @@ def registry_join_unmatched(spark, d):
     return Q.registry_match(table(spark, d, READINGS), table(spark, d, "statii_meteo"), "Denumire", "nume_NUME")
 
 
-@query("""SELECT t."Cod sinoptic" AS code, t.Denumire AS entity, r.judet_JU AS county, count(*) AS n_rows FROM datezilnicetemp_bucuresti t
+@query("""SELECT CAST(t."Cod sinoptic" AS BIGINT) AS code, t.Denumire AS entity, r.judet_JU AS county, count(*) AS n_rows FROM datezilnicetemp_bucuresti t
 LEFT JOIN (SELECT cod_wmo_CODST, max(judet_JU) AS judet_JU FROM statii_meteo GROUP BY 1) r ON t."Cod sinoptic" = r.cod_wmo_CODST GROUP BY 1, 2, 3""")
 def registry_left_join(spark, d):
     reg = table(spark, d, "statii_meteo").groupBy("cod_wmo_CODST").agg(F.max("judet_JU").alias("county"))

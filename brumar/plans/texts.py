@@ -1 +1,226 @@
+"""Queries on narrative texts: folding, cutting, parsing, zones, overlap."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brumar.common import table
+from brumar.functions import text as X
+from brumar.operators import similarity as S
+from brumar.operators import zones as Z
+from brumar.plans.registry import query
+
+DOCS = "d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text").where("text is not null")
+
+
+def monthly(spark, d):
+    return table(spark, d, "documents").where("source = 'caracterizare_lunara' and text is not null").select("doc_id", "text")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(greatest(0, len(regexp_split_to_array(text, '[.!?]+')) - 1) AS BIGINT) AS n_sentences, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM d")
+def text_basic_stats(spark, d):
+    return docs(spark, d).select("doc_id", F.length("text").alias("n_chars"), X.sentence_count(F.col("text")).alias("n_sentences"), F.size(X.words(F.col("text"))).alias("n_words"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, translate(text, 'şŞţŢ', 'șȘțȚ') AS folded FROM d")
+def cedilla_fold(spark, d):
+    return docs(spark, d).select("doc_id", X.fold_cedilla(F.col("text")).alias("folded"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, lower(translate(text, '{X.ACCENTED}', '{X.PLAIN}')) AS plain FROM d")
+def accent_strip(spark, d):
+    return docs(spark, d).select("doc_id", X.strip_accents(F.col("text")).alias("plain"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, regexp_replace(text, '<think>.*?</think>', '', 'gis') AS answer FROM d WHERE text ILIKE '%<think>%'")
+def thought_strip(spark, d):
+    return docs(spark, d).where(F.lower("text").contains("<think>")).select("doc_id", X.without_thoughts(F.col("text")).alias("answer"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{{85}}\\x{{0b}}\\x{{a0}}\\pZ]+', ' ', 'g')) AS clean FROM d")
+def whitespace_normalise(spark, d):
+    return docs(spark, d).select("doc_id", X.one_space(F.col("text")).alias("clean"))
+
+
+STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains([{STOP}], w)), ' ') AS content FROM d")
+def stopword_filter(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(X.content_words(F.col("text")), " ").alias("content"))
+
+
+PAIR = "p AS (SELECT diag_id, original_diagnosis AS a, concat_ws(' ', formatted_diagnosis.PRIMA_PROPOZITIE, formatted_diagnosis.A_DOUA_PROPOZITIE, formatted_diagnosis.A_TREIA_PROPOZITIE, formatted_diagnosis.A_PATRA_PROPOZITIE, formatted_diagnosis.PROPOZITIA_FINALA) AS b FROM formatted_diagnoses WHERE original_diagnosis IS NOT NULL AND formatted_diagnosis IS NOT NULL)"
+
+
+def pairs(spark, d):
+    f = "formatted_diagnosis."
+    b = F.concat_ws(" ", *[F.col(f + x) for x in ("PRIMA_PROPOZITIE", "A_DOUA_PROPOZITIE", "A_TREIA_PROPOZITIE", "A_PATRA_PROPOZITIE", "PROPOZITIA_FINALA")])
+    return table(spark, d, "formatted_diagnoses").where("original_diagnosis is not null and formatted_diagnosis is not null").select("diag_id", F.col("original_diagnosis").alias("a"), b.alias("b"))
+
+
+TOK = f"list_filter(regexp_split_to_array(lower({{c}}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda w: w <> '' AND NOT list_contains([{STOP}], w))"
+
+
+@query(f"""WITH {PAIR}, t AS (SELECT diag_id, list_distinct({TOK.format(c='a')}) AS x, list_distinct({TOK.format(c='b')}) AS y FROM p), n AS (SELECT diag_id, len(list_intersect(x, y)) AS i, len(x) AS nx, len(y) AS ny FROM t)
+SELECT diag_id, round(i / nullif(nx + ny - i, 0), 6) AS jaccard, round(i / nullif(ny, 0), 6) AS reference_coverage, round(i / nullif(nx, 0), 6) AS response_coverage FROM n""")
+def token_jaccard(spark, d):
+    a, b = X.content_words(F.col("a")), X.content_words(F.col("b"))
+    got = pairs(spark, d).select("diag_id", *S.token_overlap(a, b))
+    return got.select("diag_id", *[F.round(c, 6).alias(c) for c in ("jaccard", "reference_coverage", "response_coverage")])
+
+
+WORD = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH {PAIR}, t AS (SELECT diag_id, {WORD.format(c='a')} AS x, {WORD.format(c='b')} AS y FROM p),
+gx AS (SELECT diag_id, x[i] || ' ' || x[i + 1] AS g, count(*) AS n FROM t, unnest(generate_series(1, len(x) - 1)) AS s(i) GROUP BY 1, 2), gy AS (SELECT diag_id, y[i] || ' ' || y[i + 1] AS g, count(*) AS n FROM t, unnest(generate_series(1, len(y) - 1)) AS s(i) GROUP BY 1, 2),
+j AS (SELECT coalesce(gx.diag_id, gy.diag_id) AS diag_id, sum(least(coalesce(gx.n, 0), coalesce(gy.n, 0))) AS b, sum(coalesce(gx.n, 0)) AS nx, sum(coalesce(gy.n, 0)) AS ny FROM gx FULL JOIN gy ON gx.diag_id = gy.diag_id AND gx.g = gy.g GROUP BY 1)
+SELECT diag_id, round(CASE WHEN nx > 0 THEN b / nx ELSE 0 END, 6)::DOUBLE AS precision, round(CASE WHEN ny > 0 THEN b / ny ELSE 0 END, 6)::DOUBLE AS recall, round(CASE WHEN b > 0 THEN 2 * b / (nx + ny) ELSE 0 END, 6)::DOUBLE AS f FROM j""")
+def rouge_2(spark, d):
+    p = pairs(spark, d).select("diag_id", X.words(F.col("a")).alias("x"), X.words(F.col("b")).alias("y"))
+    got = S.rouge_n(p, "diag_id", "x", "y", 2)
+    return got.select("diag_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+@query()
+def rouge_l(spark, d):
+    return pairs(spark, d).select("diag_id", F.round(S.rouge_l(X.words(F.col("a")), X.words(F.col("b"))), 6).alias("f"))
+
+
+@query()
+def bleu(spark, d):
+    return pairs(spark, d).select("diag_id", F.round(S.bleu(X.words(F.col("a")), X.words(F.col("b"))), 6).alias("bleu"))
+
+
+@query(f"WITH {DOCS}, l AS (SELECT doc_id, " + ", ".join(f"(list_filter(regexp_extract_all(text, '(?i){p}:[ \\t]*([^\\n]*)', 1), lambda s: trim(s) NOT IN ('', '-')))[1] AS s{i}" for i, p in enumerate(["PRIMA PROPOZI[ȚŢT]?I[AE]", "A DOUA PROPOZI[ȚŢT]?I[AE]", "PROPOZI[ȚŢT]?IA FINAL[ĂA]"])) + " FROM d WHERE text ILIKE 'BUCURE%PRIMA PROPOZI%' AND len(regexp_extract_all(text, '(?i)PRIMA PROPOZI')) = 1) SELECT doc_id, trim(s0) AS first, trim(s1) AS second, trim(s2) AS last FROM l")
+def label_sections(spark, d):
+    """Sections of the structured reports that hold one report."""
+    one = docs(spark, d).where(F.col("text").ilike("BUCURE%PRIMA PROPOZI%") & (F.size(F.regexp_extract_all("text", F.lit("(?iu)PRIMA PROPOZI"), F.lit(0))) == 1))
+    return one.select("doc_id", X.labelled(F.col("text"), X.SECTION_LABELS[0]).alias("first"), X.labelled(F.col("text"), X.SECTION_LABELS[1]).alias("second"), X.labelled(F.col("text"), X.SECTION_LABELS[4]).alias("last"))
+
+
+@query()
+def structured_sentences(spark, d):
+    return docs(spark, d).select("doc_id", X.structured(F.col("text")).alias("sentences"))
+
+
+@query(f"""WITH {DOCS}, s AS (SELECT doc_id, generate_subscripts(regexp_split_to_array(text, '\\.\\s+'), 1) AS i FROM d) SELECT doc_id, count(*) AS n_sentences FROM s GROUP BY 1""")
+def sentence_split(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+@query(f"""WITH {DOCS}, l AS (SELECT doc_id, regexp_extract_all(text, '\\[([^\\[\\]]*)\\]', 1) AS a FROM d), n AS (SELECT doc_id, list_filter(list_transform(a, lambda s: list_transform(regexp_split_to_array(s, '\\s*,\\s*'), lambda x: TRY_CAST(trim(x) AS DOUBLE))), lambda v: len(v) IN (4, 5) AND len(list_filter(v, lambda x: x BETWEEN 0 AND 1)) = len(v)) AS g FROM l)
+SELECT doc_id, round(list_sum(g[-1]) / len(g[-1]), 6) AS score FROM n WHERE len(g) > 0""")
+def score_list(spark, d):
+    return docs(spark, d).select("doc_id", F.round(X.last_scores(F.col("text")), 6).alias("score")).where("score is not null")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, 'Nota [' || CAST(l_quantity AS INTEGER) || ', 12] apoi ' || CASE WHEN l_returnflag = 'A' THEN '[' || CAST(CAST(l_quantity AS INTEGER) * 3 AS VARCHAR) || ']' ELSE 'scor ' || CAST(CAST(l_quantity AS INTEGER) * 2 AS VARCHAR) END || ' din 250.' AS text, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS f FROM lineitem)
+SELECT k, i, CAST(CASE WHEN f = 'A' AND q * 3 <= 100 THEN q * 3 WHEN f = 'A' THEN 12 WHEN q * 2 <= 100 THEN q * 2 ELSE 12 END AS BIGINT) AS score FROM t""")
+def judge_integer(spark, d):
+    q = F.col("l_quantity").cast("int")
+    s = lambda c: c.cast("string")
+    text = F.concat(F.lit("Nota ["), s(q), F.lit(", 12] apoi "), F.when(F.col("l_returnflag") == "A", F.concat(F.lit("["), s(q * 3), F.lit("]"))).otherwise(F.concat(F.lit("scor "), s(q * 2))), F.lit(" din 250."))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("bigint").alias("i"), X.judge_score(text).alias("score"))
+
+
+@query("""WITH n AS (SELECT test_id, approach || '_2024-07-10_' || past_days || '_past_days' || CASE WHEN test_id % 2 = 0 THEN '_seed' || CAST(40 + test_id % 5 AS VARCHAR) ELSE '' END || '.json' AS name FROM test_data_zero_shot)
+SELECT test_id, regexp_extract(name, '^(.*)_(\\d{4}-\\d{2}-\\d{2})_(\\d+)_past_days', 1) AS model, '2024-07-10' AS date, CAST(regexp_extract(name, '_(\\d+)_past_days', 1) AS BIGINT) AS past_days, CASE WHEN test_id % 2 = 0 THEN 40 + test_id % 5 ELSE 1 END AS seed FROM n WHERE name IS NOT NULL""")
+def filename_parse(spark, d):
+    t = table(spark, d, "test_data_zero_shot")
+    name = F.concat(F.col("approach"), F.lit("_2024-07-10_"), F.col("past_days").cast("string"), F.lit("_past_days"), F.when(F.col("test_id") % 2 == 0, F.concat(F.lit("_seed"), (40 + F.col("test_id") % 5).cast("string"))).otherwise(""), F.lit(".json"))
+    return t.select("test_id", name.alias("name")).where("name is not null").select("test_id", X.run_name(F.col("name")).alias("r")).select("test_id", "r.*")
+
+
+MONTHLY = "m AS (SELECT doc_id, text FROM documents WHERE source = 'caracterizare_lunara' AND text IS NOT NULL)"
+BR = r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]"
+
+
+@query(f"""WITH {MONTHLY}, b AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '{BR}', 1), regexp_extract_all(text, '{BR}', 2))) AS z FROM m), v AS (SELECT doc_id, CAST(z[1] AS DOUBLE) AS lo, CAST(z[2] AS DOUBLE) AS hi FROM b)
+SELECT doc_id, lo, hi, 2 * floor((lo + hi) / 4) AS low, 2 * floor((lo + hi) / 4) + 2 AS high, abs(2 * floor((lo + hi) / 4) - lo) > 1e-9 OR abs(2 * floor((lo + hi) / 4) + 2 - hi) > 1e-9 AS moved FROM v""")
+def grid_snap(spark, d):
+    b = monthly(spark, d).select("doc_id", F.explode(X.bracket_intervals(F.col("text"))).alias("i"))
+    return b.select("doc_id", F.col("i.low").alias("lo"), F.col("i.high").alias("hi"), X.snapped(F.col("i.low"), F.col("i.high")).alias("s")).select("doc_id", "lo", "hi", "s.*")
+
+
+@query(f"""WITH {MONTHLY}, x AS (SELECT doc_id, regexp_extract_all(text, '(?i)[iîÎ]ntre\\s+(-?\\d+(?:\\.\\d+)?)\\s+(?:si|și|ȘI)\\s+(-?\\d+(?:\\.\\d+)?)', 1) AS a, regexp_extract_all(text, '(?i)\\bpeste\\s+(-?\\d+(?:\\.\\d+)?)\\s*°\\s*C', 1) AS p FROM m) SELECT doc_id, CAST(len(a) AS BIGINT) AS n_between, CAST(len(p) AS BIGINT) AS n_over, round(list_sum(list_transform(p, lambda v: CAST(v AS DOUBLE))), 6) AS sum_over FROM x""")
+def worded_intervals(spark, d):
+    w = monthly(spark, d).select("doc_id", X.worded_intervals(F.col("text")).alias("w"), F.regexp_extract_all("text", F.lit(r"(?iu)\bpeste\s+(-?\d+(?:\.\d+)?)\s*°\s*C"), F.lit(1)).alias("p"))
+    total = F.aggregate(F.transform("p", lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return w.select("doc_id", (F.size("w") - F.size("p")).alias("n_between"), F.size("p").alias("n_over"), F.when(F.size("p") > 0, F.round(total, 6)).alias("sum_over"))
+
+
+def _stage(spark, d):
+    """Stations that should be named (those of Bucharest), predicted intervals (every second station of the registry) and true means by month."""
+    from brumar.plans.sensors import daily, dim
+
+    days = daily(spark, d).where("tmax is not null and tmin is not null")
+    value = days.groupBy("entity").agg(F.round(F.avg((F.col("tmax") + F.col("tmin")) / 2), 3).alias("t"))
+    dm = dim(spark, d)
+    m = spark.range(11, 13).select(F.col("id").alias("month"))
+    truth = dm.where("grp = 'BUCURESTI'").select("entity").crossJoin(m)
+    pred = dm.where(F.length("entity") % 2 == 0).select("entity", (2.0 * (F.length("entity") % 7) - 4).alias("low")).withColumn("high", F.col("low") + 2).crossJoin(m)
+    return truth, pred, value
+
+
+@query("""WITH v AS (SELECT entity, round(avg((tmax + tmin) / 2), 3) AS t FROM daily WHERE tmax IS NOT NULL AND tmin IS NOT NULL GROUP BY 1), mm AS (SELECT * FROM (VALUES (11), (12)) k(month)),
+tr AS (SELECT month, entity FROM dim, mm WHERE grp = 'BUCURESTI'), pr AS (SELECT month, entity, 2.0 * (length(entity) % 7) - 4 AS low, 2.0 * (length(entity) % 7) - 2 AS high FROM dim, mm WHERE length(entity) % 2 = 0),
+j AS (SELECT coalesce(tr.month, pr.month) AS month, coalesce(tr.entity, pr.entity) AS entity, tr.entity IS NOT NULL AS a, pr.entity IS NOT NULL AS b, low, high FROM tr FULL JOIN pr ON tr.month = pr.month AND tr.entity = pr.entity),
+s AS (SELECT month, a, b, t, CASE WHEN t IS NULL THEN NULL WHEN a AND b THEN greatest(0, low - t, t - high) WHEN a THEN 2.0 ELSE greatest(2.0, low - t, t - high) END AS dd FROM j LEFT JOIN v ON j.entity = v.entity)
+SELECT CAST(month AS BIGINT) AS month, round(coalesce(avg(dd), 2.0), 6)::DOUBLE AS d_bar, count(*) FILTER (WHERE t IS NOT NULL AND a AND b) AS n_intersection, count(*) FILTER (WHERE t IS NOT NULL AND a AND NOT b) AS n_missed, count(*) FILTER (WHERE t IS NOT NULL AND NOT a) AS n_false_positive, count(*) FILTER (WHERE t IS NULL) AS n_unscorable, round(1 / (1 + coalesce(avg(dd), 2.0) / 2), 6)::DOUBLE AS accuracy FROM s GROUP BY 1""".replace("WITH v", "WITH {daily}, {dim}, v"))
+def interval_distance_score(spark, d):
+    truth, pred, value = _stage(spark, d)
+    s = Z.interval_score(truth, pred, value, ["month"])
+    return s.select("month", F.round("d_bar", 6).alias("d_bar"), *[c for c in s.columns if c.startswith("n_")], F.round("accuracy", 6).alias("accuracy"))
+
+
+def _fill_in() -> None:
+    from brumar.plans.registry import SQL
+    from brumar.plans.sensors import DAILY, DIM
+
+    SQL["interval_distance_score"] = SQL["interval_distance_score"].replace("{daily}", DAILY).replace("{dim}", DIM)
+
+
+_fill_in()
+
+
+@query()
+def zone_extraction(spark, d):
+    return monthly(spark, d).select("doc_id", F.explode(Z.zones_of("text")).alias("z")).select("doc_id", "z.*")
+
+
+@query()
+def zone_predictions(spark, d):
+    return Z.predictions(monthly(spark, d), "doc_id", "text")
+
+
+@query()
+def zone_last_mention(spark, d):
+    return Z.last_mention(Z.predictions(monthly(spark, d), "doc_id", "text"), ["doc_id", "zone", "cardinal"], ["sentence", "start"])
+
+
+@query()
+def bracket_rewrite(spark, d):
+    return monthly(spark, d).select("doc_id", Z.rewritten("text").alias("fluent"))
+
+
+@query()
+def rewrite_refresh(spark, d):
+    """How many paragraphs a new run of the rewriter would change."""
+    m = monthly(spark, d).withColumn("fluent", Z.rewritten("text"))
+    return m.agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(F.col("fluent") != F.col("text")).alias("n_changed"))
+
+
+@query(f"""WITH {DOCS}, l AS (SELECT doc_id, regexp_split_to_array(text, '\\n') AS ls FROM d WHERE text LIKE '%ZIUA ȚINTĂ%'), x AS (SELECT doc_id, ls, len(ls) AS n, list_position(list_transform(ls, lambda s: starts_with(s, 'ZIUA ȚINTĂ')), true) AS a, coalesce(list_position(list_transform(ls, lambda s: starts_with(s, 'ZILELE DINAINTE')), true), list_position(list_transform(ls, lambda s: starts_with(s, 'Scrie diagnoza')), true), len(ls) + 1) AS b FROM l)
+SELECT doc_id, array_to_string(list_slice(ls, a + 1, b - 1), chr(10)) AS section FROM x WHERE a IS NOT NULL""")
+def section_slice(spark, d):
+    """The lines between a header and the first of its end markers, else to the end of the text."""
+    ls = docs(spark, d).where(F.col("text").contains("ZIUA ȚINTĂ")).select("doc_id", F.split("text", "\n").alias("ls"))
+    at = lambda mark: F.nullif(F.array_position(F.transform("ls", lambda s: F.startswith(s, F.lit(mark))), True), F.lit(0))
+    x = ls.withColumn("a", at("ZIUA ȚINTĂ")).withColumn("b", F.coalesce(at("ZILELE DINAINTE"), at("Scrie diagnoza"), F.size("ls") + 1)).where("a is not null")
+    return x.select("doc_id", F.array_join(F.slice("ls", (F.col("a") + 1).cast("int"), F.greatest(F.col("b") - F.col("a") - 1, F.lit(0)).cast("int")), "\n").alias("section"))
