@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: a number with decimals that is no part of a date
@@ -103,7 +103,10 @@ def cross_split(train: DataFrame, test: DataFrame, least: int = 4, share: float
             F.array_join(F.slice("v.s", F.col("at"), REACH), " ").alias("suffix"),
         )
     )
-    parts = suffixes.repartitionByRange("k").sortWithinPartitions("k", "suffix")
+    # the range partitioning serves the window too: stretches of the array without two sides and two classes end here
+    of = Window.partitionBy("k")
+    shared = suffixes.repartitionByRange("k").withColumns({"t0": F.max("in_train").over(of), "t1": F.max("in_test").over(of), "c0": F.min("c").over(of), "c1": F.max("c").over(of)})
+    parts = shared.where("t0 and t1 and c0 <> c1").drop("t0", "t1", "c0", "c1").sortWithinPartitions("k", "suffix")
     spans = parts.mapInPandas(lambda b: _spans(b, least), "c_train string, c_test string, view int, at_train int, at_test int, span int")
     cover = lambda at: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("view") == 0, F.sequence(F.col(at), F.col(at) + F.col("span") - 1))))))
     merged = spans.groupBy("c_train", "c_test").agg(cover("at_train").alias("on_train"), cover("at_test").alias("on_test"))
