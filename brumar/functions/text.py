@@ -110,7 +110,7 @@ def snapped(low: Column, high: Column, width: float = 2.0) -> Column:
 
 
 def point_distance(t: Column, low: Column, high: Column) -> Column:
-    return F.greatest(F.lit(0.0), low - t, t - high)
+    return F.when((t + low + high).isNotNull(), F.greatest(F.lit(0.0), low - t, t - high))
 
 
 def bracket_intervals(text: Column) -> Column:

@@ -38,7 +38,7 @@ def fold_edges(spark, n: int, folds: int) -> DataFrame:
 
 def transformed(value: Column, variable: Column) -> Column:
     """Rain goes through log1p of its non-negative part, everything else stays."""
-    return F.when(variable.startswith("precip"), F.log1p(F.greatest(value, F.lit(0.0)))).otherwise(value)
+    return F.when(variable.startswith("precip") & value.isNotNull(), F.log1p(F.greatest(value, F.lit(0.0)))).otherwise(value)
 
 
 def fitted_scaler(samples: DataFrame, series: str, fold: str) -> DataFrame:

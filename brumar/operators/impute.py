@@ -115,7 +115,8 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
     okta = F.expr("try_cast(n0 as double)")
     base = base.withColumn("n", F.when(okta == 9, None).otherwise(F.col("n0"))).withColumn("sky", F.when(okta.between(0, OKTAS - 1), okta.cast("int")))
     fit_v = F.when(F.col("v").between(low, high), F.col("v"))
-    delay = F.log1p(F.greatest(F.lit(0.0), (F.col("l") - F.col("t")) / 1e6))
+    gap = (F.col("l") - F.col("t")) / 1e6
+    delay = F.when(gap.isNotNull(), F.log1p(F.greatest(F.lit(0.0), gap)))
     base = base.withColumn("w", fit_v).withColumn("d", delay).withColumn("hr", F.floor(F.coalesce("t", "l") / HOUR_US))
     # what is normal at each source and, for rows without one, over all
     sums = base.groupBy("e").agg(F.avg("w").alias("wm"), F.stddev_pop("w").alias("ws"), F.avg("d").alias("dm"), F.stddev_pop("d").alias("ds"))
@@ -124,7 +125,7 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
     with_stats = base.join(sums, "e", "left")
     for name, alt in zip(("wm", "ws", "dm", "ds"), overall):
         with_stats = with_stats.withColumn(name, F.coalesce(name, F.lit(alt)))
-    clip = lambda q: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), q))
+    clip = lambda q: F.when(q.isNotNull(), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), q)))  # greatest and least pass over nulls
     with_stats = with_stats.withColumn("z", clip((F.col("w") - F.col("wm")) / F.greatest("ws", F.lit(0.1)))).withColumn("g", clip((F.col("d") - F.col("dm")) / F.greatest("ds", F.lit(0.1))))
     # the network at the same hour
     hours = with_stats.groupBy("hr").agg(F.avg("z").alias("c"), F.mode("sky").alias("net"))
