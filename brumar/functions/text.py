@@ -48,8 +48,7 @@ def words(text: Column) -> Column:
 
 def content_words(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Words that are no function words, with repetitions and in order."""
-    listed = F.array(*[F.lit(w) for w in stop])
-    return F.filter(words(text), lambda w: ~F.array_contains(listed, w))
+    return F.filter(words(text), lambda w: ~w.isin(list(stop)))  # a list of literals becomes a hash set
 
 
 def sentence_count(text: Column) -> Column:

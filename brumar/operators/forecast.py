@@ -63,10 +63,12 @@ def forecasts(samples: DataFrame, series: str, how: str) -> DataFrame:
 
 
 def errors(pred: DataFrame, by: list[str]) -> DataFrame:
-    """RMSE and MAE over all, and by each of the columns in ``by`` (one pass of grouping sets)."""
+    """RMSE and MAE by each of the columns in ``by`` (one pass of grouping sets) and over all; the row over all is there for an empty frame too."""
     e = F.col("pred") - F.col("actual")
     keyed = pred.select(*[F.col(c).cast("string").alias(c) for c in by], (e * e).alias("sq"), F.abs(e).alias("ab"))
-    return keyed.groupingSets([[], *[[c] for c in by]], *by).agg(F.sqrt(F.avg("sq")).alias("rmse"), F.avg("ab").alias("mae"), F.count(F.lit(1)).alias("n"))
+    measures = [F.sqrt(F.avg("sq")).alias("rmse"), F.avg("ab").alias("mae"), F.count(F.lit(1)).alias("n")]
+    whole = keyed.agg(*measures).select(*[F.lit(None).cast("string").alias(c) for c in by], "rmse", "mae", "n")
+    return keyed.groupingSets([[c] for c in by], *by).agg(*measures).unionByName(whole)
 
 
 def class_of(value: Column) -> Column:

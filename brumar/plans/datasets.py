@@ -119,12 +119,12 @@ def resume_skip_done(spark, d):
     return table(spark, d, "train_data").join(s, "sursa", "left_semi").join(done, "train_id", "left_anti").select("train_id")
 
 
-@query("""WITH x AS (SELECT day, avg(tmax) AS tmax, avg(tmin) AS tmin FROM {daily_cte} GROUP BY 1) SELECT day, strftime(day, '%d.%m.%Y') || ': maxima ' || printf('%.1f', floor(tmax * 10 + 0.5) / 10) || ' °C, minima ' || printf('%.1f', floor(tmin * 10 + 0.5) / 10) || ' °C' AS line FROM x WHERE tmax IS NOT NULL AND tmin IS NOT NULL""".replace("{daily_cte}", "daily"), dates=("day",))
+@query("""WITH x AS (SELECT day, avg(tmax) AS tmax, avg(tmin) AS tmin FROM {daily_cte} GROUP BY 1) SELECT day, strftime(day, '%d.%m.%Y') || ': maxima ' || printf('%.1f', floor(round(tmax, 6) * 10 + 0.5) / 10) || ' °C, minima ' || printf('%.1f', floor(round(tmin, 6) * 10 + 0.5) / 10) || ' °C' AS line FROM x WHERE tmax IS NOT NULL AND tmin IS NOT NULL""".replace("{daily_cte}", "daily"), dates=("day",))
 def prompt_lines(spark, d):
     from brumar.plans.sensors import daily
 
     x = daily(spark, d).groupBy("day").agg(F.avg("tmax").alias("tmax"), F.avg("tmin").alias("tmin")).where("tmax is not null and tmin is not null")
-    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5) / 10
+    tenth = lambda c: F.floor(F.round(F.col(c), 6) * 10 + 0.5) / 10
     return x.select("day", F.format_string("%s: maxima %.1f °C, minima %.1f °C", F.date_format("day", "dd.MM.yyyy"), tenth("tmax"), tenth("tmin")).alias("line"))
 
 
