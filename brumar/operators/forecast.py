@@ -137,3 +137,11 @@ def linear_direct(samples: DataFrame, series: str, ridge: float = 1e-3) -> DataF
     j = samples.join(beta, series).select(series, "sample", "x", "b", F.posexplode("y").alias("h0", "actual"))
     dot = F.aggregate(F.sequence(F.lit(0), F.lit(w - 2)), F.element_at("b", (w - 1) * h + F.col("h0") + 1), lambda acc, i: acc + F.element_at("x", i + 1) * F.element_at("b", i * h + F.col("h0") + 1))
     return j.select(series, "sample", (F.col("h0") + 1).alias("h"), dot.alias("pred"), "actual")
+
+
+def rolled_out(samples: DataFrame, series: str, steps: int) -> DataFrame:
+    """(series, sample, step, pred): the window mean fed back into the window, ``steps`` times."""
+    n = F.size("x")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("x"), lambda a, _: F.concat(a, F.array(total(F.slice(a, -n, n)) / n)))
+    return samples.select(series, "sample", F.posexplode(F.slice(grown, n + 1, F.lit(steps))).alias("step", "pred")).withColumn("step", (F.col("step") + 1).cast("bigint"))
