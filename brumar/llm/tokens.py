@@ -41,7 +41,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Transducer:
-    def __init__(self, path: str = VOCABULARY, most_states: int = 400_000, most_words: int = 200_000) -> None:
+    def __init__(self, path: str = VOCABULARY, most_states: int = 200_000, most_words: int = 200_000) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = byte_letters()
