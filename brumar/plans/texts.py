@@ -99,11 +99,29 @@ def bleu(spark, d):
 
 @query(f"WITH {DOCS}, l AS (SELECT doc_id, " + ", ".join(f"(list_filter(regexp_extract_all(text, '(?i){p}:[ \\t]*([^\\n]*)', 1), lambda s: trim(s) NOT IN ('', '-')))[1] AS s{i}" for i, p in enumerate(["PRIMA PROPOZI[ȚŢT]?I[AE]", "A DOUA PROPOZI[ȚŢT]?I[AE]", "PROPOZI[ȚŢT]?IA FINAL[ĂA]"])) + " FROM d WHERE text ILIKE 'BUCURE%PRIMA PROPOZI%' AND len(regexp_extract_all(text, '(?i)PRIMA PROPOZI')) = 1) SELECT doc_id, trim(s0) AS first, trim(s1) AS second, trim(s2) AS last FROM l")
 def label_sections(spark, d):
-    """Sections of the structured reports that hold one report."""
+    """Three sections of the structured reports that hold one report; ``report_sections`` gives all five of all texts."""
     one = docs(spark, d).where(F.col("text").ilike("BUCURE%PRIMA PROPOZI%") & (F.size(F.regexp_extract_all("text", F.lit("(?iu)PRIMA PROPOZI"), F.lit(0))) == 1))
     return one.select("doc_id", X.labelled(F.col("text"), X.SECTION_LABELS[0]).alias("first"), X.labelled(F.col("text"), X.SECTION_LABELS[1]).alias("second"), X.labelled(F.col("text"), X.SECTION_LABELS[4]).alias("last"))
 
 
+_LABELS = ["PRIMA PROPOZI[ȚŢT]?I[AE]", "A DOUA PROPOZI[ȚŢT]?I[AE]", "A TREIA PROPOZI[ȚŢT]?I[AE]", "A PATRA PROPOZI[ȚŢT]?I[AE]", "PROPOZI[ȚŢT]?IA FINAL[ĂA]"]
+_SECTIONS = ["first", "second", "third", "fourth", "last"]
+
+
+@query(
+    f"WITH {DOCS}, c AS (SELECT doc_id, regexp_replace(text, '<think>.*?</think>', '', 'gis') AS t FROM d), l AS (SELECT doc_id, "
+    + ", ".join(f"list_filter(list_transform(regexp_extract_all(t, '(?i){p}:[ \\t]*([^\\n]*)', 1), lambda s: trim(s)), lambda s: s NOT IN ('', '-')) AS {n}" for p, n in zip(_LABELS, _SECTIONS))
+    + f" FROM c WHERE regexp_matches(t, '(?i)({'|'.join(_LABELS)}):')) SELECT doc_id, "
+    + ", ".join(f"list_filter({n}, lambda s: length(s) = list_max(list_transform({n}, lambda x: length(x))))[1] AS {n}" for n in _SECTIONS)
+    + " FROM l"
+)
+def report_sections(spark, d):
+    """All five sections, the longest of each, of every text that holds a label outside of thoughts."""
+    clean = docs(spark, d).select("doc_id", X.without_thoughts(F.col("text")).alias("t"))
+    some = clean.where(F.col("t").rlike("|".join(f"(?:{X.label_pattern(x)})" for x in X.SECTION_LABELS)))
+    return some.select("doc_id", *[X.labelled(F.col("t"), x).alias(n) for x, n in zip(X.SECTION_LABELS, _SECTIONS)])
+
+
 @query()
 def structured_sentences(spark, d):
     return docs(spark, d).select("doc_id", X.structured(F.col("text")).alias("sentences"))

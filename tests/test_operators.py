@@ -60,6 +60,16 @@ def test_structured_sentences(spark):
     assert one(spark, X.structured(F.col("t")), t="plain  text") == "plain text"
 
 
+def test_report_sections(spark, tmp_path):
+    from brumar.plans.texts import report_sections
+
+    texts = ["Răspuns: <think>PRIMA PROPOZIȚIE: cel mai lung dintre toate</think>\nPRIMA PROPOZIȚIE: a\nA TREIA PROPOZIȚIE: c c\nA TREIA PROPOZITIE: c\nA PATRA PROPOZIȚIE: -",
+             "BUCUREȘTI\nPRIMA PROPOZIȚIE: a\nBUCUREȘTI\nprima propozitie: a b\nPROPOZIȚIA FINALĂ: z", "fără etichete"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in report_sections(spark, str(tmp_path)).collect())
+    assert got == [(0, "a", None, "c c", None, None), (1, "a b", None, None, None, "z")]
+
+
 def test_worded_intervals(spark):
     got = one(spark, X.worded_intervals(F.col("t")), t="între 4 și 6 °C, peste 6 °C, sub 0 °C, sub 5 minute, ÎNTRE 1 SI 2")
     assert sorted((r["low"], r["high"]) for r in got) == [(-2, 0), (1, 2), (4, 6), (6, 8)]
