@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,3 +75,45 @@ def bleu(a: pd.Series, b: pd.Series) -> pd.Series:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def best_matches(df: DataFrame, row_id: str, text: str, vector: str, block: int = 512) -> DataFrame:
+    """(row id, text, other, s): the highest cosine of every vector to a vector of every text, its own text included, never to itself.
+
+    Every vector is compared with every other one, a block of vectors against a block at a time; the number of blocks
+    follows the number of rows.  Null and zero vectors have no cosine and are left out.
+    """
+    kinds = dict(df.dtypes)
+    v = df.select(F.col(row_id).alias("id"), F.col(text).alias("t"), F.col(vector).cast("array<double>").alias("v")).where(F.col("t").isNotNull() & F.exists("v", lambda x: x != 0))
+    n = max(1, -(-v.count() // block))
+    v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = v.withColumnRenamed("b", "i").withColumn("j", each), v.withColumnRenamed("b", "j").withColumn("i", each)
+
+    def unit(x: pd.DataFrame) -> np.ndarray:
+        m = np.vstack(x["v"].to_numpy())
+        m = m / np.abs(m).max(axis=1, keepdims=True)  # squares neither vanish nor overflow
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def most(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a["id"][:0], "t": a["t"][:0], "other": b["t"][:0], "s": pd.Series(dtype=float)})
+        b = b.sort_values("t", kind="stable")
+        s = unit(a) @ unit(b).T
+        s[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
+        others, starts = np.unique(b["t"].to_numpy(), return_index=True)
+        top = np.maximum.reduceat(s, starts, axis=1)
+        k = len(others)
+        got = pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), k), "t": np.repeat(a["t"].to_numpy(), k), "other": np.tile(others, len(a)), "s": top.ravel()})
+        return got[got["s"] > -np.inf]
+
+    got = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(most, f"id {kinds[row_id]}, t {kinds[text]}, other {kinds[text]}, s double")
+    return got.groupBy(F.col("id").alias(row_id), F.col("t").alias(text), "other").agg(F.max("s").alias("s"))
+
+
+def greedy_match(best: DataFrame, text: str) -> DataFrame:
+    """(text, other, precision, recall, f) from ``best_matches``: means of the best cosines of the vectors of a text and of those of the other."""
+    m = best.groupBy(text, "other").agg(F.avg("s").alias("precision"), F.count(F.lit(1)).alias("n"))
+    back = m.select(F.col("other").alias(text), F.col(text).alias("other"), F.col("precision").alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return m.join(back, [text, "other"]).select(text, "other", "precision", "recall", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"), "n")

@@ -151,6 +151,25 @@ def test_similarity(spark):
     assert [round(r[0], 6) for r in df.select(similarity.bleu(a, b)).collect()] == [1, 0, 0]
 
 
+@pytest.mark.parametrize("block", [3, 100])
+def test_greedy_match(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=4)]) for i in range(20)] + [(20, 7, [1.0, 0.0, 0.0, 0.0]), (21, 0, [0.0] * 4), (22, 1, None)]
+    df = spark.createDataFrame(rows, "i int, t int, v array<double>")
+    want = {}
+    for i, t, v in rows[:21]:
+        for j, u, w in rows[:21]:
+            if i != j:
+                want[i, u] = max(want.get((i, u), -2), float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)))
+    best = similarity.best_matches(df, "i", "t", "v", block)
+    assert {(r["i"], r["other"]): pytest.approx(r["s"]) for r in best.collect()} == want
+    mean = lambda a, b: np.mean([s for (i, u), s in want.items() if rows[i][1] == a and u == b])
+    got = {(r["t"], r["other"]): (r["precision"], r["recall"]) for r in similarity.greedy_match(best, "t").collect()}
+    assert len(got) == 15 and all(got[a, b] == pytest.approx((mean(a, b), mean(b, a))) for a, b in got)
+
+
 def test_message_errors(spark):
     df = spark.createDataFrame([(1, None), (2, [("user", "x"), ("bot", "y")]), (3, [("user", None)]), (4, [("user", "x")])], "id int, m array<struct<role:string,content:string>>")
     assert sorted((r["id"], r["error"]) for r in assembly.message_errors(df, "id", "m").collect()) == [(1, "no messages"), (2, "unknown role"), (3, "no content")]
