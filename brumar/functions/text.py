@@ -59,10 +59,13 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=\.)\s+")
 
 
+def _loose(label: str) -> str:
+    return "".join({"Ț": "[ȚŢT]?", "Ă": "[ĂA]"}.get(c, c) for c in label).replace("IE", "I[AE]")
+
+
 def label_pattern(label: str) -> str:
-    """A label at the start of a line, whatever the case and the accents of its last word."""
-    loose = "".join({"Ț": "[ȚŢT]?", "Ă": "[ĂA]"}.get(c, c) for c in label).replace("IE", "I[AE]")
-    return rf"(?iu){loose}:[ \t]*([^\n]*)"
+    """A label anywhere, whatever the case and the accents of its last word, and the rest of its line."""
+    return rf"(?iu){_loose(label)}:[ \t]*([^\n]*)"
 
 
 def labelled(text: Column, label: str) -> Column:
@@ -80,6 +83,24 @@ def structured(text: Column) -> Column:
     return one_space(F.when(joined == "", clean).otherwise(joined))
 
 
+def line_sections(text: Column) -> list[Column]:
+    """The sections of a text read line by line, one column a label, empty if there is none.
+
+    A label opens a section only at the start of a line; notes may stand between it and the colon.  Lines up to the next
+    label join the open section, those before the first label belong to none.  A label that comes again goes on with its
+    section; '-' stays.
+    """
+    lines = F.regexp_replace(text, r"\r\n?|[\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n")
+    any_label = "|".join(_loose(x) for x in SECTION_LABELS)
+    pieces = F.split(lines, rf"(?imud)(?=^[\s\p{{Z}}&&[^\n]]*(?:{any_label})[^:\n]*:)")
+
+    def of(label):
+        head = rf"(?iu)\A[\s\p{{Z}}]*{_loose(label)}[^:\n]*:"
+        return F.array_join(F.transform(F.filter(pieces, lambda s: s.rlike(head)), lambda s: F.regexp_replace(s, head, "")), " ")
+
+    return [one_space(of(x)) for x in SECTION_LABELS]
+
+
 def last_scores(text: Column) -> Column:
     """The mean of the last bracketed list of four or five numbers that all lie in 0..1."""
     lists = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1))

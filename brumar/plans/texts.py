@@ -122,6 +122,13 @@ def report_sections(spark, d):
     return some.select("doc_id", *[X.labelled(F.col("t"), x).alias(n) for x, n in zip(X.SECTION_LABELS, _SECTIONS)])
 
 
+@query()
+def line_sections(spark, d):
+    """The five sections, read line by line, of every text that has any."""
+    got = docs(spark, d).select("doc_id", *[c.alias(n) for c, n in zip(X.line_sections(F.col("text")), _SECTIONS)])
+    return got.where(F.concat(*_SECTIONS) != "")
+
+
 @query()
 def structured_sentences(spark, d):
     return docs(spark, d).select("doc_id", X.structured(F.col("text")).alias("sentences"))

@@ -70,6 +70,28 @@ def test_report_sections(spark, tmp_path):
     assert got == [(0, "a", None, "c c", None, None), (1, "a b", None, None, None, "z")]
 
 
+def by_lines(text):
+    import re
+
+    loose = lambda x: x.replace("Ț", "[ȚŢT]?").replace("Ă", "[ĂA]").replace("IE", "I[AE]")
+    got, now = [[] for _ in X.SECTION_LABELS], None
+    for line in filter(None, map(str.strip, text.splitlines())):
+        hit = next(((i, m) for i, x in enumerate(X.SECTION_LABELS) if (m := re.match(rf"{loose(x)}[^:]*:\s*(.*)$", line, re.I))), None)
+        if hit:
+            now = hit[0]
+        if now is not None:
+            got[now].append(hit[1][1] if hit else line)
+    return tuple(re.sub(r"\s+", " ", " ".join(x)).strip() for x in got)
+
+
+def test_line_sections(spark):
+    rows = [("BUCUREȘTI\nPRIMA PROPOZIȚIE: a b\n  c: d\n\ne\r\nA TREIA PROPOZIȚIE (OPȚIONALĂ): -\r  prima propozitie: f vezi A DOUA PROPOZIȚIE: g\nPROPOZIȚIA FINALĂ:\nh\u2028i",),
+            ("A DOUA PROPOZIȚIE fără două puncte\nnimic",), ("\n\nA PATRA PROPOZIȚIE: x",), ("PRIMA PROPOZIȚIE:" + " y\n" * 20000,), ("",)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "t string").select(*X.line_sections(F.col("t"))).collect()]
+    assert got[0] == ("a b c: d e f vezi A DOUA PROPOZIȚIE: g", "", "-", "", "h i")
+    assert got == [by_lines(t) for (t,) in rows]
+
+
 def test_worded_intervals(spark):
     got = one(spark, X.worded_intervals(F.col("t")), t="între 4 și 6 °C, peste 6 °C, sub 0 °C, sub 5 minute, ÎNTRE 1 SI 2")
     assert sorted((r["low"], r["high"]) for r in got) == [(-2, 0), (1, 2), (4, 6), (6, 8)]
