@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,7 +53,8 @@ _L = r"\p{L}\p{M}"
 _HIDDEN = re.compile(r"[­͏؜​-‏‪-‮⁠-⁤﻿]")
 _ODD = re.compile(r"[ ­͏ -‏‐‑ -  -⁤　﻿！-～\p{M}]")
 _EMAIL = re.compile(rf"(?<![\w.+-])[\w+][\w.+-]*(?:\s?(?:@|\(at\)|\[at\])\s?)[\w-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[\w-]+)*", re.I)
-_PHONE = re.compile(r"(?<![\w.,/])(?:\+|\(|\d)[\d()]*(?:[ ./\-]{1,2}\(?\d[\d()]*)*")
+_PHONE = re.compile(r"(?:(?<![\w.,/])|(?<=\d[./])(?=\+))(?:\+|\(|\d)[\d()]*(?:[ ./\-]{1,2}\(?\d[\d()]*)*")
+_DATE = re.compile(r"(?<!\d)(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[./-]\d{1,2}[./-]\d{1,2})(?!\d)")
 _CODE = re.compile(r"(?<![\w.+-])[1-9] ?\d{6} ?\d{6}(?!\d)")
 _CARD = re.compile(r"(?<![\w-])[A-Z]{2}(?: ?[Nn][Rr]\.?)? ?\d{6}(?!\d)")
 _WORDS = rf"(?:\p{{Lu}}\.|[{_L}][{_L}'’\-]*)"
@@ -60,7 +62,7 @@ _STREET = re.compile(rf"(?<![\w-])(?:(?:nr\.? ?)?\d{{1,4}} ?[A-Z]?,? )?{STREET}\
 _STREET_ONLY = re.compile(rf"(?<![\w-])\d{{1,4}}[A-Z]?,? {STREET}\b\.?\s{{1,2}}(?:\p{{Lu}}[{_L}'’\-]*\s?(?:de\s)?){{1,4}}", re.I)
 _STREET_EN = re.compile(rf"(?<![\w.,-])\d{{1,4}}[A-Z]?,? (?:\p{{Lu}}[{_L}'’\-]*\s){{1,4}}?(?i:{STREET_EN})\b")
 _CAP = rf"(?:\p{{Lu}}[{_L}]+(?:[-’']\p{{Lu}}[{_L}]+)*|\p{{Lu}}\.)"
-_NAME = re.compile(rf"(?<![\w@.+-])(?={_CAP})(?:{_CAP}(?:\s{{1,2}}|(?<=\.)(?=\p{{Lu}}))){{1,5}}{_CAP}(?![\w@])", re.M)
+_NAME = re.compile(rf"(?<![\w@.+-])(?={_CAP})(?:{_CAP}(?:\s{{1,2}}|(?<=\.)(?=\p{{Lu}})))+{_CAP}(?![\w@])", re.M)
 _CAPWORD = re.compile(_CAP)
 
 
@@ -120,8 +122,11 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, tu
         if sum(c.isdigit() for c in s) < 6:
             continue
         stops = [e.end() for e in re.finditer(r"\d+(?=[ ./\-()]|$)", s)]
-        for stop in stops:
-            part = s[:stop]
+        dated, inside = (set().union(*(range(e.start() + k, e.end()) for e in _DATE.finditer(s))) for k in (0, 1))
+        # a number before may belong to the run, so every group of digits may begin a phone, but for those inside a date
+        starts = (e.end() for e in re.finditer(r"^|(?<=[\d)][ ./\-]{1,2})(?=\(?\d)", s))
+        for start, stop in ((a, x) for a in starts if a not in inside for x in stops[bisect_right(stops, a) : bisect_right(stops, a) + 15]):
+            part = s[start:stop]
             d = re.sub(r"\D", "", part)
             if not 7 <= len(d) <= 15:
                 continue
@@ -132,17 +137,17 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, tu
             f.append("t_country" if country else "t_home")
             if country and national is None:
                 f.append("t_abroad" if 10 <= len(d) <= 14 and part[0] == "+" else "t_bad_abroad")
-            f.append("t_call" if TEL_WORDS.search(before(m.start())) else "t_no_call")
+            f.append("t_call" if TEL_WORDS.search(before(m.start() + start)) else "t_no_call")
             f.append("t_paired" if part.count("(") == part.count(")") else "t_unpaired")
             after = text[m.start() + stop : m.start() + stop + 1]
             f.append("t_goes_on" if after.isdigit() or after == "-" and stop < len(s) else "t_ends")
-            if re.fullmatch(r"(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[./-]\d{1,2}[./-]\d{1,2}).*", part):
+            if not dated.isdisjoint(range(start, stop)) if start else _DATE.match(part):
                 f.append("t_date")
             if d[0] != "0" and part[0] not in "+(":
                 f.append("t_no_zero")
             if "." in part and len(part.split(".")) == 2:
                 f.append("t_decimal" if "(" not in part else "t_point")
-            got.append((m.start(), m.start() + stop, "phone", tuple(f)))
+            got.append((m.start() + start, m.start() + stop, "phone", tuple(f)))
     for m in _CODE.finditer(text):
         dated, check = valid_code(re.sub(r"\D", "", m.group()))
         got.append((m.start(), m.end(), "id_number", ("i_dated" if dated else "i_undated", "i_check" if check else "i_no_check", "i_both" if dated and check else "i_not_both", "i_call" if ID_WORDS.search(before(m.start())) else "i_no_call")))
@@ -162,9 +167,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, tu
     for m in _NAME.finditer(text):
         toks = [(t.start() + m.start(), t.end() + m.start()) for t in _CAPWORD.finditer(m.group())]
         for i in range(len(toks)):
-            for n in (2, 3):
-                if i + n > len(toks):
-                    continue
+            for n in range(2, len(toks) - i + 1):
                 span = text[toks[i][0] : toks[i + n - 1][1]]
                 words = [fold(text[a:b]) for a, b in toks[i : i + n]]
                 if sum(w.endswith(".") for w in words) == n:
@@ -173,8 +176,10 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, tu
                 family = [bool(SURNAME.search(w)) and len(w) > 4 and not w.endswith(".") for w in words]
                 initial = [w.endswith(".") and len(w) == 2 for w in words]
                 bad = sum(w.rstrip(".") in NOT_NAMES or w.rstrip(".") in TITLES for w in words)
+                if n > 3 and (bad or sum(not (k or x or y) for k, x, y in zip(known, family, initial)) > 1):
+                    break  # nor can a longer one be a name: four and more words with at most one that looks like none
                 head = re.findall(r"[\w-]+", before(toks[i][0]))
-                f = [f"n_known{min(2, sum(known))}", f"n_family{min(2, sum(family))}", "n_both" if any(known) and any(x and not k for x, k in zip(family, known)) else "n_not_both", f"n_bad{min(2, bad)}", f"n_size{n}"]
+                f = [f"n_known{min(2, sum(known))}", f"n_family{min(2, sum(family))}", "n_both" if any(known) and any(x and not k for x, k in zip(family, known)) else "n_not_both", f"n_bad{min(2, bad)}", f"n_size{min(3, n)}"]
                 if any(initial):
                     f.append("n_initial_family" if any(family) else "n_initial")
                 if any(initial[1:]) and n == 2 and not family[0]:

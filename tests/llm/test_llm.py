@@ -243,6 +243,20 @@ def test_entities_in_context(field):
     assert [(k, long[a:b]) for a, b, k in pii.entities(long, given, weights)] == [("name", "Ana Popescu")]
 
 
+def test_entities_inside_runs(field):
+    weights, given = field
+    find = lambda t: [(t[a:b], k) for a, b, k in pii.entities(t, given, weights)]
+    for t in ("ora 12 0721 234 567", "2014-05-03 0721 234 567 apel", "12/+40 721 234 567"):
+        assert [k for _, k in find(t)] == ["phone"] and find(t)[0][0].endswith("721 234 567") and find(t)[0][0][0] in "0+"
+    for c in "/-. ":
+        assert find(f"Mențiune: 0721234567{c}0722345678.") == [("0721234567", "phone"), ("0722345678", "phone")]
+    assert find("2014-05-03 2014-05-04 06 00") == []
+    assert find("Observator: Ana Maria Ioana Elena Popescu.") == [("Ana Maria Ioana Elena Popescu", "name")]
+    # a name over the sixth word of a run of capitals
+    spans = {t[a:b] for t in ["NOTA PRIVIND DATELE TRANSMISE ASEARA ANA POPESCU LA SEDIU"] for a, b, k, _ in pii.candidates(t, given) if k == "name"}
+    assert "ANA POPESCU" in spans and ("ANA POPESCU", "name") in find("NOTA PRIVIND DATELE TRANSMISE ASEARA ANA POPESCU LA SEDIU")
+
+
 def test_found_frames(spark):
     docs = spark.createDataFrame([(1, "Observator: Ana Popescu.", "x"), (2, None, "y"), (3, "", "z")], "doc_id bigint, text string, items string")
     given = spark.createDataFrame([("Ana",), (None,)], "prenume string")
