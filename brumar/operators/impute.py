@@ -129,8 +129,10 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
     with_stats = with_stats.withColumn("z", clip((F.col("w") - F.col("wm")) / F.greatest("ws", F.lit(0.1)))).withColumn("g", clip((F.col("d") - F.col("dm")) / F.greatest("ds", F.lit(0.1))))
     # the network at the same hour
     hours = with_stats.groupBy("hr").agg(F.avg("z").alias("c"), F.mode("sky").alias("net"))
-    # labels that can be filled in: at most MOST_LABELS, so their list is bounded
-    top = base.where("f is not null").groupBy("f").count().orderBy(F.desc("count"), "f").limit(MOST_LABELS).collect()
+    # labels that can be filled in: at most MOST_LABELS, so their list is bounded; none is left out in silence
+    top = base.where("f is not null").groupBy("f").count().orderBy(F.desc("count"), "f").limit(MOST_LABELS + 1).collect()
+    if len(top) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
     names = [r["f"] for r in top] or [""]
     number = F.map_from_arrays(F.array(*[F.lit(q) for q in names]), F.array(*[F.lit(i) for i in range(len(names))]))
     feats = (

@@ -72,11 +72,11 @@ def first_row(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def decoded(df: DataFrame, code: Column, ix: Column, table_a: DataFrame, table_b: DataFrame, none: str = "*") -> DataFrame:
     """Adds ``meaning``: ``none`` for a null code or '//'; by ix 1-3 the text of table A, 4-7 of table B; else a remark.
 
-    The code tables hold (code, text) with two-digit codes, so at most a hundred rows each: they are broadcast.
+    The code tables hold (code, text); of several texts of one code the first by alphabet counts.
     """
     c = F.when(F.length(code) < 2, F.lpad(code, 2, "0")).otherwise(code)
-    a = F.broadcast(table_a.limit(100).select(F.col("code").alias("__a"), F.col("text").alias("__ta")))
-    b = F.broadcast(table_b.limit(100).select(F.col("code").alias("__b"), F.col("text").alias("__tb")))
+    a = table_a.groupBy(F.col("code").alias("__a")).agg(F.min("text").alias("__ta"))
+    b = table_b.groupBy(F.col("code").alias("__b")).agg(F.min("text").alias("__tb"))
     j = df.withColumn("__c", c).withColumn("__ix", ix).join(a, F.col("__c") == F.col("__a"), "left").join(b, F.col("__c") == F.col("__b"), "left")
     unknown = F.concat(F.lit("unknown code "), F.col("__c"))
     meaning = F.when(code.isNull() | (code == "//"), none).when(F.col("__ix").between(1, 3), F.coalesce("__ta", unknown)).when(F.col("__ix").between(4, 7), F.coalesce("__tb", unknown)).otherwise("ix invalid")

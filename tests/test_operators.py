@@ -148,6 +148,21 @@ def test_decode(spark):
     assert sorted(got) == sorted(["*", "A5", "B7", "ix invalid", "*", "unknown code 99"])
 
 
+def test_decode_large_tables(spark):
+    a = spark.createDataFrame([("07", "A")] * 200 + [(str(i), f"A{i}") for i in range(100, 300)], "code string, text string").coalesce(1)
+    df = spark.createDataFrame([("7", 1), ("299", 2)], "c string, ix int")
+    assert sorted(r["meaning"] for r in rollup.decoded(df, F.col("c"), F.col("ix"), a, a.limit(0)).collect()) == ["A", "A299"]
+
+
+def test_too_many_labels(spark):
+    from brumar.operators import impute
+
+    t = datetime(2024, 1, 1)
+    df = spark.createDataFrame([("s", t, 1.0, "3", f"l{i}", t, i) for i in range(impute.MOST_LABELS + 1)], "e string, t timestamp_ntz, v double, n string, f string, l timestamp_ntz, i bigint")
+    with pytest.raises(ValueError, match="labels"):
+        impute.fill_readings(df, "e", "t", "v", "n", "f", "l", "i")
+
+
 def test_expected_ticks(spark):
     df = spark.createDataFrame([("a", datetime(2024, 12, 20, 6, 30)), ("b", None)], "e string, t timestamp_ntz")
     got = {r["e"]: (r["n_expected"], r["n_found"]) for r in quality.tick_coverage(df, "e", "t", "2024-12-20", 4).collect()}
