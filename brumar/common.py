@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,22 +29,19 @@ def usable_text(value: Column) -> Column:
     return F.when(F.lower(t).isin(NO_VALUE_CODES), None).otherwise(t)
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp with or without zone (session time zone)."""
-    return F.unix_micros(ts.cast("timestamp"))
+EPOCH = "timestamp_ntz'1970-01-01'"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, which survives lost executors.
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 on the clock that the timestamp shows; one without a zone never meets the session's zone."""
+    return ((ts.cast("timestamp_ntz") - F.expr(EPOCH)).cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where none is
-    named (tests on one machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "brumar-checkpoints"))
-    return df.checkpoint(eager=True)
+def from_micros(us: Column) -> Column:
+    """The timestamp without zone of a count of microseconds; the inverse of ``micros``."""
+    minute = F.floor(us / 60_000_000).cast("int")
+    second = (F.pmod(us, F.lit(60_000_000)) / 1_000_000).cast("decimal(18,6)")
+    return F.expr(EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), minute, second)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

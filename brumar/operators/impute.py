@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brumar.common import HOUR_US, micros, usable, usable_text
+from brumar.common import HOUR_US, from_micros, micros, usable, usable_text
 
 OKTAS = 9  # 0..8 eighths; 9 stands for a sky that can't be seen
 NUMERIC = ("z", "c", "g")  # wind relative to the source, of the network at that hour, loading delay
@@ -183,9 +183,8 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
 
     out = feats.drop("hr").mapInPandas(fill, "id bigint, e string, t bigint, v double, n string, f string, l bigint, mv boolean, mn boolean, mf boolean, mt boolean")
     names_of = lambda *pairs: F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]))
-    ts = lambda q: F.timestamp_micros(q).cast("timestamp_ntz")
     return out.select(
-        F.col("id").alias(row_id), F.col("e").alias(entity), ts(F.col("t")).alias(time), F.col("v").alias(value), F.col("n").alias(sky), F.col("f").alias(label), ts(F.col("l")).alias(loaded),
+        F.col("id").alias(row_id), F.col("e").alias(entity), from_micros(F.col("t")).alias(time), F.col("v").alias(value), F.col("n").alias(sky), F.col("f").alias(label), from_micros(F.col("l")).alias(loaded),
         names_of((value, F.col("mv")), (sky, F.col("mn")), (label, F.col("mf")), (time, F.col("mt"))).alias("lipsa"),
         names_of((value, F.col("mv")), (sky, F.col("mn")), (label, F.col("mf") & (F.col("f") != "")), (time, F.col("mt") & F.col("t").isNotNull())).alias("umplut"),
     )

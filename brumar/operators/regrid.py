@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brumar.common import HOUR_US, micros, usable
+from brumar.common import HOUR_US, from_micros, micros, usable
 
 
 def hourly_grid(df: DataFrame, entity: str, time: str, value: str, hold_hours: int = 3, block_days: int = 32) -> DataFrame:
@@ -47,7 +47,7 @@ def hourly_grid(df: DataFrame, entity: str, time: str, value: str, hold_hours: i
     n, o = F.coalesce("n", F.lit(0)), F.coalesce("o", F.lit(0))
     return out.select(
         F.col("e").alias("denumire"),
-        F.date_format(F.timestamp_micros(F.col("h") * HOUR_US), "yyyy-MM-dd HH:mm").alias("ora"),
+        F.substring(from_micros(F.col("h") * HOUR_US).cast("string"), 1, 16).alias("ora"),
         F.when(o > 0, F.col("vo") / o).alias("mean_value"),
         (o / HOUR_US).alias("coverage"),
         n.alias("n_rows"),

@@ -8,7 +8,7 @@ import pytest
 
 from brumar.operators.impute import fill_readings
 from brumar.operators.regrid import hourly_grid
-from brumar.operators.spikes import faulty_readings, robust_pca
+from brumar.operators.spikes import HOUR_US, faulty_readings, robust_pca, spike_mask, usual_spread
 
 SCHEMA = "id_rand bigint, Denumire string, `Data masurarii` timestamp_ntz, Rff1 double, Nop string, Fenomen string, data_incarcare timestamp_ntz, e string, t int, v string"
 T0 = datetime(2024, 1, 1)
@@ -82,12 +82,55 @@ def test_faults_of_nothing_and_of_nulls(spark):
 
 def test_robust_pca_splits():
     r = np.random.default_rng(0)
-    low = np.outer(r.normal(size=40), r.normal(size=24))
+    low = np.outer(r.normal(size=40), r.normal(size=24)) + np.outer(r.normal(size=40), r.normal(size=24))
     sparse = np.zeros_like(low)
     sparse[3, 5], sparse[20, 11] = 15, -12
-    a, s = robust_pca(low + sparse, np.ones_like(low, bool), 200, 1e-7)
-    assert abs(s[3, 5] - 15) < 0.5 and abs(s[20, 11] + 12) < 0.5
+    a, s, noise = robust_pca(low + sparse + r.normal(0, 0.1, low.shape), np.ones_like(low, bool))
+    assert abs(s[3, 5] - 15) < 0.5 and abs(s[20, 11] + 12) < 0.5 and 0.05 <= noise < 0.12
     assert np.linalg.norm(a - low) < 0.1 * np.linalg.norm(low)
+    a, s, noise = robust_pca(np.zeros((3, 24)), np.zeros((3, 24), bool))
+    assert not a.any() and not s.any()
+
+
+def test_the_decomposition_decides():
+    """A sharp peak at the same hour of every day is normal to principal components and to nothing else; a gale is neither."""
+    r = np.random.default_rng(1)
+    t = np.arange(24 * 32) * HOUR_US
+    v = 3 + r.normal(0, 0.2, len(t))
+    v[t // HOUR_US % 24 == 15] += 6
+    planted = [100, 400, 401]
+    v[planted] += 9
+    v[600:612] += 8 * np.sin(np.linspace(0, np.pi, 12))  # a gale that builds up and dies down
+    off = lambda d, known: (np.zeros_like(d), d, 0.05)
+    assert list(np.flatnonzero(spike_mask(t, v, 0.3))) == planted
+    without = set(np.flatnonzero(spike_mask(t, v, 0.3, off)))
+    assert len(without - set(planted)) > 20
+
+
+def test_spread_is_exact_and_the_same_however_rows_lie(spark):
+    v = np.round(np.random.default_rng(0).gamma(2, 2, 999), 1)
+    df = spark.createDataFrame([("A", float(x)) for x in v] + [("B", 1.0)], "e string, v double")
+    want = np.subtract(*np.quantile(v, [0.75, 0.25])) / 1.349
+    for n in (1, 7):
+        got = {r["e"]: r["sigma"] for r in usual_spread(df.repartition(n), "e", "v").collect()}
+        assert got["A"] == pytest.approx(want) and got["B"] == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Bucharest"])
+def test_no_session_zone_moves_a_reading(spark, zone):
+    rows = [("A", datetime(2024, 3, 31) + timedelta(hours=i), 2.5 if 2 < i < 12 else float(i % 7)) for i in range(30) if i != 20]
+    rows.append(("A", None, 2.5, "3", "Ceata", datetime(2024, 3, 31, 3, 10)))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = frame(spark, rows)
+        hours = {r["ora"]: r["occupied"] for r in hourly_grid(df, "Denumire", "Data masurarii", "Rff1").collect()}
+        assert hours == {f"{rows[0][1] + timedelta(hours=i):%Y-%m-%d %H:%M}": i != 20 for i in range(30)}
+        assert faults(df) == {(i, "stuck") for i in range(3, 12)}
+        got = {x["id_rand"]: x["Data masurarii"] for x in fill(df).collect()}
+        assert all(got[i] == r[1] for i, r in enumerate(rows) if r[1]) and abs(got[len(rows) - 1] - rows[-1][5]) < timedelta(minutes=5)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_grid_against_brute_force(spark):
