@@ -185,7 +185,7 @@ def _stage(spark, d):
     from brumar.plans.sensors import daily, dim
 
     days = daily(spark, d).where("tmax is not null and tmin is not null")
-    value = days.groupBy("entity").agg(F.round(F.avg((F.col("tmax") + F.col("tmin")) / 2), 3).alias("t"))
+    value = days.groupBy("entity").agg(F.avg((F.col("tmax") + F.col("tmin")) / 2).alias("t"))
     dm = dim(spark, d)
     m = spark.range(11, 13).select(F.col("id").alias("month"))
     truth = dm.where("grp = 'BUCURESTI'").select("entity").crossJoin(m)
@@ -193,7 +193,7 @@ def _stage(spark, d):
     return truth, pred, value
 
 
-@query("""WITH v AS (SELECT entity, round(avg((tmax + tmin) / 2), 3) AS t FROM daily WHERE tmax IS NOT NULL AND tmin IS NOT NULL GROUP BY 1), mm AS (SELECT * FROM (VALUES (11), (12)) k(month)),
+@query("""WITH v AS (SELECT entity, avg((tmax + tmin) / 2) AS t FROM daily WHERE tmax IS NOT NULL AND tmin IS NOT NULL GROUP BY 1), mm AS (SELECT * FROM (VALUES (11), (12)) k(month)),
 tr AS (SELECT month, entity FROM dim, mm WHERE grp = 'BUCURESTI'), pr AS (SELECT month, entity, 2.0 * (length(entity) % 7) - 4 AS low, 2.0 * (length(entity) % 7) - 2 AS high FROM dim, mm WHERE length(entity) % 2 = 0),
 j AS (SELECT coalesce(tr.month, pr.month) AS month, coalesce(tr.entity, pr.entity) AS entity, tr.entity IS NOT NULL AS a, pr.entity IS NOT NULL AS b, low, high FROM tr FULL JOIN pr ON tr.month = pr.month AND tr.entity = pr.entity),
 s AS (SELECT month, a, b, t, CASE WHEN t IS NULL THEN NULL WHEN a AND b THEN greatest(0, low - t, t - high) WHEN a THEN 2.0 ELSE greatest(2.0, low - t, t - high) END AS dd FROM j LEFT JOIN v ON j.entity = v.entity)
