@@ -1,133 +1,371 @@
 """Problem 3: records of the evaluation splits that the training split repeats, exactly or almost.
 
-A prompt is reduced to the sequence of its readings (numbers with decimals, in order), which
-layout, spelling and the way dates are written leave alone.  Prompts with one and the same
-sequence form a class; only classes go on.  The suffixes of the concatenated sequences are
-partitioned by range on their first tokens and sorted, which gives the suffix array in parts: in
-each part, neighbouring suffixes of the two sides with a common prefix of at least ``least``
-tokens are shared spans.  A second, interleaved view of every sequence makes sure that two changed
-values cannot break up all spans of a sequence of nine or more.  Spans that could be longer to the
-left are dropped, the rest merged into the coverage of each record, and an exact check on the
-readings decides.
-
-Defined results: null and blank prompts match nothing; prompts with fewer than ``least`` readings
-match only if their text is the same; several user messages of one record count each; repeated
-rows each give their pairs.
+A prompt is a sequence of tokens: its readings (numbers with decimals, in order), which layout,
+spelling and the way dates are written leave alone, or all its words where it has fewer than
+``FEW`` readings.  Prompts with one and the same sequence form a class; only classes go on.
+
+The suffix array over all sequences is kept in parts, one for each way a suffix begins: the fewest first
+tokens that hold ``bits`` of information, a token's information being the logarithm of its share of all
+tokens.  Rare readings begin a part after three tokens, rain of zero takes many more, so that frequent
+stretches make no part of their own.  Parts with one side or one class end at once.  The others are
+sorted by suffix, and a walk over neighbours gives the length of the common prefix of every training and
+evaluation suffix of a part as the smallest between neighbours from one to the other.  These are the
+shared spans.  Two changed readings may break every long span of a short prompt, so the same is
+done for the sequence in the order of two hashes of its tokens, where other tokens are neighbours.
+
+Spans are merged, over all orders, into the tokens of each record that are covered.  Coverage decides:
+a pair needs ``covered`` of the longer sequence, on either side.  An exact count of common tokens follows, which only takes away.
+
+A part in which training and evaluation suffixes would give more than ``HOT`` pairs a suffix, or with
+more than ``MOST`` suffixes, is not paired.  Its classes go on by pairs of their rarest tokens, as in joins by prefix filter: sequences
+that have at least ``share_inside`` of the longer one in common share at least two of the first
+n - share_inside * n + 2 tokens in any fixed order.  So no pair is lost and no frequent stretch multiplies out.
+
+Defined results: null and blank prompts match nothing; prompts without any word match if their text is the same; those that go by
+words need the same numbers, and a share of ``share_words``; several user messages of one record count each; repeated rows each
+give their pairs (``cross_split``) or share a class (``linked_classes``); empty tables give nothing; very long prompts are taken whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brumar.common import spread
+
 #: a number with decimals that is no part of a date
 READING = r"(?:(?<!\w)[-−])?(?<!\d)(?<!\d[.,])\d+[.,]\d{1,2}(?![.,]?\d)"
-#: tokens of a suffix that are kept and compared
-REACH = 48
+#: prompts with fewer readings go by their words
+FEW = 4
+#: information of the first tokens of a suffix that name its part; tokens rarer than 1 in 2**RARE count as RARE
+BITS, RARE = 24.0, 8.0
+#: tokens, all different, that shares are counted with, so that those of a small table mean something
+BESIDES = 50_000
+#: orders of the tokens besides their own: for all sequences, and for those of up to BRIEF tokens
+SHUFFLED, SHUFFLED_BRIEF, BRIEF = 1, 3, 12
+#: pairs a suffix, and suffixes, above which a part is split otherwise
+HOT, MOST = 32, 4096
+#: tokens of a suffix that the walk compares; spans that go on are taken up again every STEP tokens
+REACH, STEP = 64, 32
+#: sequences up to LONG tokens are split by pairs of rare tokens, from SHORT on by single ones (either holds for all lengths that can match)
+LONG, SHORT = 106, 64
 
 
 def readings(text: Column) -> Column:
-    """The readings of a text as an array of strings, each written in one way."""
+    """The readings of a text in hundredths."""
     plain = F.regexp_extract_all(text, F.lit(READING), F.lit(0))
-    return F.transform(plain, lambda x: F.translate(x, ",−", ".-").cast("double").cast("string"))
-
-
-def _interleaved(seq: Column) -> Column:
-    """Every other token, then the ones between, then the first ones again."""
-    even = F.filter(seq, lambda _, i: i % 2 == 0)
-    return F.concat(even, F.filter(seq, lambda _, i: i % 2 == 1), even)
-
-
-def _spans(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Walks a sorted part of the suffix array; yields the spans that a training and an evaluation class share."""
-    names = ["c_train", "c_test", "view", "at_train", "at_test", "span"]
-    key, train, test = None, [], []
-
-    def pairs():
-        got = []
-        for a in train:
-            for b in test:
-                if a[0] == b[0] or (a[3] == b[3] and a[3] != ""):
-                    continue  # the same class, or a span that starts further left
-                n = least
-                for x, y in zip(a[4][least:], b[4][least:]):
-                    if x != y:
-                        break
-                    n += 1
-                got.append((a[0], b[0], a[1], a[2], b[2], n))
-        return pd.DataFrame(got, columns=names)
+    return F.transform(plain, lambda x: F.round(F.translate(x, ",−", ".-").cast("double") * 100).cast("bigint"))
+
+
+def _words(text: Column) -> Column:
+    flat = F.lower(F.translate(text, "ăâîșțşţĂÂÎȘȚŞŢ", "aaiststAAISTST"))
+    return F.filter(F.split(flat, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A well spread 64-bit hash of each number."""
+    z = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+class Weights:
+    """Information of tokens: of the frequent ones by their share, of all others ``RARE``; at least one bit."""
+
+    def __init__(self, frequent: dict[int, float]) -> None:
+        self.token = np.array(sorted(frequent), np.int64)
+        self.bits = np.array([min(RARE, max(1.0, -math.log2(frequent[t]))) for t in sorted(frequent)])
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.full(len(tokens), RARE)
+        if len(self.token) and len(tokens):
+            at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
+            hit = self.token[at] == tokens
+            out[hit] = self.bits[at[hit]]
+        return out
+
+
+def orders(tokens: np.ndarray, seq: np.ndarray) -> list[np.ndarray]:
+    """Places of the tokens in each order; ``seq`` numbers the sequence of each token, ascending."""
+    own = np.arange(len(tokens))
+    return [own] + [np.lexsort((own, _mix(tokens, s + 1), seq)) for s in range(SHUFFLED_BRIEF)]
+
+
+def used(view: int, length):
+    """Whether sequences of a length are taken in an order: changes break up brief ones most."""
+    return (view <= SHUFFLED) | (length <= BRIEF)
+
+
+def beginnings(tokens: np.ndarray, seq: np.ndarray, weights: Weights, bits: float = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, tokens needed, hash of these) of every suffix that holds ``bits``, for sequences laid end to end."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[0.0], np.cumsum(weights.of(tokens))])
+    at = np.arange(n)
+    need = np.searchsorted(total, total[:-1] + bits - 1e-9)  # the place behind the last token needed
+    end = np.searchsorted(seq, seq, side="right")
+    ok = need <= end
+    at, need = at[ok], need[ok]
+    # a polynomial over the tokens, taken back to the first place of the suffix
+    base = np.uint64(0xD6E8FEB86659FD93)
+    inverse = np.uint64(pow(int(base), -1, 2**64))
+    with np.errstate(over="ignore"):
+        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base))])
+        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, inverse))])
+        run = np.concatenate([[np.uint64(0)], np.cumsum(_mix(tokens) * power[:-1])])
+        key = _mix((run[need] - run[at]) * back[at])
+    return at, need - at, key.view(np.int64)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all rows of the column ``seq``, and the row of each."""
+    col = batch.column(batch.schema.get_field_index("seq"))
+    length = np.diff(col.offsets.to_numpy())
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(length)), length)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], weights: Weights, bits: float) -> Iterator[pa.RecordBatch]:
+    """(key, view, at, c, in_train, in_test) of every suffix; ``at`` counts from 1."""
+    for b in batches:
+        tokens, row = _flat(b)
+        first = np.searchsorted(row, np.arange(b.num_rows))
+        length = np.bincount(row, minlength=b.num_rows)
+        for view, order in enumerate(orders(tokens, row)):
+            at, _, key = beginnings(tokens[order], row, weights, bits)
+            keep = used(view, length[row[at]])
+            at, key = at[keep], key[keep]
+            of = row[at]
+            take = b.take(pa.array(of)).select(["c", "in_train", "in_test"])
+            with np.errstate(over="ignore"):
+                key = key + np.int64(view)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), view, np.int32)), pa.array((at - first[of] + 1).astype(np.int32)), *take.columns], ["key", "view", "at", "c", "in_train", "in_test"])
+
+
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, view, tokens) of every sequence in every order."""
+    for b in batches:
+        tokens, row = _flat(b)
+        off = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+        for view, order in enumerate(orders(tokens, row)):
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("c")), pa.array(np.full(b.num_rows, view, np.int32)), pa.ListArray.from_arrays(off, pa.array(tokens[order]))], ["c", "view", "tokens"])
+
+
+def _rare(batches: Iterator[pa.RecordBatch], weights: Weights, share: float) -> Iterator[pa.RecordBatch]:
+    """(key, c, in_train, in_test) for pairs of the rarest tokens of each sequence, or single ones of long sequences."""
+    for b in batches:
+        tokens, row = _flat(b)
+        keys, of = [], []
+        for i in range(b.num_rows):
+            mine = tokens[row == i] if b.num_rows < 50 else tokens[np.searchsorted(row, i) : np.searchsorted(row, i + 1)]
+            n, count, named = len(mine), Counter(), []
+            for t in np.sort(mine):  # repeated tokens are told apart by number
+                count[t] += 1
+                named.append((t, count[t]))
+            if not n:
+                continue
+            t, k = np.array([x for x, _ in named], np.int64), np.array([k for _, k in named], np.int64)
+            name = _mix(t.view(np.uint64) ^ _mix(k, 7), 3)
+            name = name[np.lexsort((name, -weights.of(t)))]
+            keep = n - math.ceil(share * n - 1e-9)
+            with np.errstate(over="ignore"):
+                if n <= LONG:
+                    head = name[: keep + 2]
+                    x, y = np.triu_indices(len(head), 1)
+                    lo, hi = np.minimum(head[x], head[y]), np.maximum(head[x], head[y])
+                    keys.append(_mix(lo) * np.uint64(3) + _mix(hi, 1))
+                    of.append(np.full(len(x), i))
+                if n >= SHORT:
+                    head = name[: keep + 1]
+                    keys.append(_mix(head, 9))
+                    of.append(np.full(len(head), i))
+        if keys:
+            take = b.take(pa.array(np.concatenate(of))).select(["c", "in_train", "in_test"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *take.columns], ["key", "c", "in_train", "in_test"])
+
+
+def common_prefixes(rows: list[list[int]]) -> list[int]:
+    """Length of the common prefix of each suffix with the one before it."""
+    out = [0]
+    for a, b in zip(rows, rows[1:]):
+        n = min(len(a), len(b))
+        k = 0
+        while k < n and a[k] == b[k]:
+            k += 1
+        out.append(k)
+    return out
 
+
+def shared(part: list[tuple]) -> Iterator[tuple]:
+    """(training class, evaluation class, view, place in each, length) of the spans of one sorted part.
+
+    Rows are (class, in training, in evaluation, view, place, token before, suffix).  A span that could begin further left is
+    left to the suffix that does, but for every STEP-th place, as the walk compares no more than REACH tokens.
+    """
+    prefix = common_prefixes([r[6] for r in part])
+    few = [i for i, r in enumerate(part) if r[2]] if sum(r[2] for r in part) <= sum(r[1] for r in part) else [i for i, r in enumerate(part) if r[1]]
+    seen = set()
+    for i in few:  # from each suffix of the smaller side to all others, up and down
+        for step in (1, -1):
+            length, j = REACH, i
+            while 0 <= j + step < len(part):
+                length = min(length, prefix[max(j, j + step)])  # the smallest between neighbours from one suffix to the other
+                j += step
+                if not length:
+                    break
+                a, b = part[min(i, j)], part[max(i, j)]
+                if a[0] == b[0] or (min(i, j), max(i, j)) in seen:
+                    continue
+                if part[j][1] and part[j][2]:
+                    seen.add((min(i, j), max(i, j)))  # met from both ends
+                for x, y in ((a, b), (b, a)):
+                    if x[1] and y[2] and (x[5] != y[5] or x[5] is None or x[4] % STEP == 1):
+                        yield x[0], y[0], x[3], x[4], y[4], length
+
+
+SPANS = ["c_train", "c_test", "view", "at_train", "at_test", "span"]
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks the sorted parts that lie in one task, part by part."""
+    key, part, out = None, [], []
     for pdf in batches:
-        for k, cls, in_train, in_test, view, at, before, suffix in pdf.itertuples(index=False):
+        for k, *r in pdf.itertuples(index=False, name=None):
             if k != key:
-                if train and test:
-                    yield pairs()
-                key, train, test = k, [], []
-            row = (cls, view, at, before, suffix.split(" "))
-            if in_train:
-                train.append(row)
-            if in_test:
-                test.append(row)
-    if train and test:
-        yield pairs()
-
-
-def cross_split(train: DataFrame, test: DataFrame, least: int = 4, share: float = 0.7, share_inside: float = 0.6) -> DataFrame:
-    """(train_id, test_id, matched, longest, covered): pairs of train(id, text) and test(id, text) that repeat each other.
+                out.extend(shared(part))
+                key, part = k, []
+            before = r[5]
+            part.append((*r[:5], None if before is None or before != before else before, list(r[6])))
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=SPANS)
+            out = []
+    out.extend(shared(part))
+    if out:
+        yield pd.DataFrame(out, columns=SPANS)
 
-    Pairs have at least ``share`` of the readings of the longer one in common, or all of the shorter
-    one and ``share_inside`` of the longer one.
-    """
+
+def covered_tokens(a: np.ndarray, b: np.ndarray, weights: Weights, bits: float = BITS) -> tuple[int, int]:
+    """Tokens of either sequence that lie in spans they share, over all orders (what the walk finds for one pair)."""
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    on = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for view, (oa, ob) in enumerate(zip(orders(a, np.zeros(len(a), int)), orders(b, np.zeros(len(b), int)))):
+        if not (used(view, len(a)) and used(view, len(b))):
+            continue
+        (pa_, la, ka), (pb, lb, kb) = beginnings(a[oa], np.zeros(len(a), int), weights, bits), beginnings(b[ob], np.zeros(len(b), int), weights, bits)
+        for cover, order, place, length, hit in ((on[0], oa, pa_, la, np.isin(ka, kb)), (on[1], ob, pb, lb, np.isin(kb, ka))):
+            for p, n in zip(place[hit], length[hit]):
+                cover[order[p : p + n]] = True
+    return int(on[0].sum()), int(on[1].sum())
+
+
+def _merged(spans, a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """The spans of a pair merged into the tokens of either sequence that they cover."""
+    on = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    oa, ob = orders(a, np.zeros(len(a), int)), orders(b, np.zeros(len(b), int))
+    for s in spans:
+        on[0][oa[s["view"]][s["at_train"] - 1 : s["at_train"] - 1 + s["span"]]] = True
+        on[1][ob[s["view"]][s["at_test"] - 1 : s["at_test"] - 1 + s["span"]]] = True
+    return int(on[0].sum()), int(on[1].sum())
+
+
+def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share: float, share_inside: float, share_words: float) -> tuple[DataFrame, DataFrame]:
+    """((is_train, id, c) of every prompt, links between classes)."""
     both = train.select(F.lit(True).alias("is_train"), "id", "text").unionByName(test.select(F.lit(False).alias("is_train"), "id", "text"))
-    both = both.where(F.length(F.trim("text")) > 0).withColumn("seq", readings(F.col("text")))
-    long_enough = F.size("seq") >= least
-    both = both.withColumn("c", F.md5(F.when(long_enough, F.array_join("seq", " ")).otherwise(F.concat(F.lit("text "), F.trim("text")))))
-    rows = both.select("is_train", "id", "c", F.when(long_enough, F.col("seq")).alias("seq")).persist(StorageLevel.MEMORY_AND_DISK)
-    classes = rows.groupBy("c").agg(F.first("seq", ignorenulls=True).alias("seq"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_test"))
-    # identical readings: one class holds both sides
+    both = both.where(F.length(F.trim("text")) > 0).withColumns({"r": readings(F.col("text")), "w": _words(F.col("text"))})
+    by_words = F.size("r") < FEW
+    seq = F.when(by_words, F.transform("w", lambda w: F.xxhash64(w))).otherwise(F.col("r"))
+    digits = F.when(by_words, F.md5(F.array_join(F.array_sort(F.filter("w", lambda w: w.rlike(r"\p{N}"))), " ")))
+    both = both.select("is_train", "id", seq.alias("seq"), digits.alias("digits"), F.when(F.size(seq) == 0, F.trim("text")).alias("bare"))
+    c = F.unhex(F.md5(F.concat_ws(" ", F.coalesce("bare", "digits", F.lit("")), F.array_join(F.transform("seq", lambda x: x.cast("string")), " "))))
+    rows = spread(both.select("is_train", "id", "seq", "digits", c.alias("c")), "c").persist(StorageLevel.MEMORY_AND_DISK)
+    classes = rows.groupBy("c").agg(F.first("seq").alias("seq"), F.first("digits").alias("digits"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_test"))
     same = classes.where("in_train and in_test").select(F.col("c").alias("c_train"), F.col("c").alias("c_test"), F.size("seq").alias("matched"), F.size("seq").alias("longest"), F.lit(1.0).alias("covered"))
-    # the suffix array
-    views = classes.where("seq is not null").select("c", "in_train", "in_test", F.explode(F.array(F.struct(F.lit(0).alias("view"), F.col("seq").alias("s")), F.struct(F.lit(1).alias("view"), _interleaved(F.col("seq")).alias("s")))).alias("v"))
-    suffixes = (
-        views.where(F.size("v.s") >= least)
-        .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("v.s") - least + 1)))
-        .select(
-            F.concat_ws(" ", F.col("v.view").cast("string"), F.array_join(F.slice("v.s", F.col("at"), least), " ")).alias("k"),
-            "c", "in_train", "in_test", F.col("v.view").alias("view"), "at",
-            F.when(F.col("at") > 1, F.element_at("v.s", F.col("at") - 1)).otherwise("").alias("before"),
-            F.array_join(F.slice("v.s", F.col("at"), REACH), " ").alias("suffix"),
-        )
+    # tokens with at least 1 in 2 ** RARE of all, so at most 2 ** RARE of them
+    tokens = classes.select(F.explode("seq").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    all_tokens = (tokens.agg(F.sum("n")).first()[0] or 0) + BESIDES
+    weights = Weights({r["t"]: r["n"] / all_tokens for r in tokens.where(F.col("n") > all_tokens / 2**RARE).collect()})
+
+    plain = classes.where(F.size("seq") > 0).select("c", "in_train", "in_test", "seq")
+    flags = "c binary, in_train boolean, in_test boolean"
+    suffixes = plain.mapInArrow(lambda b: _suffixes(b, weights, bits), f"key bigint, view int, at int, {flags}")
+
+    def of_both(df: DataFrame) -> DataFrame:
+        """Keys with both sides and two classes; counted before rows move, so a frequent key is one row a task."""
+        n = df.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_test").alias("ne"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        return n.where("nt > 0 and ne > 0 and c0 <> c1").select("key", ((F.col("nt") * F.col("ne") > HOT * (F.col("nt") + F.col("ne"))) | (F.col("nt") + F.col("ne") > MOST)).alias("hot"))
+
+    parts = suffixes.join(of_both(suffixes), "key").persist(StorageLevel.MEMORY_AND_DISK)
+    views = plain.mapInArrow(_views, "c binary, view int, tokens array<bigint>")
+    found = (
+        parts.where("not hot")
+        .join(views, ["c", "view"])
+        .select("key", "c", "in_train", "in_test", "view", "at", F.when(F.col("at") > 1, F.element_at("tokens", F.col("at") - 1)).alias("before"), F.slice("tokens", F.col("at"), REACH).alias("suffix"))
+        .repartition("key")
+        .sortWithinPartitions("key", "suffix")
+        .mapInPandas(_walk, "c_train binary, c_test binary, view int, at_train int, at_test int, span int")
     )
-    # the range partitioning serves the window too: stretches of the array without two sides and two classes end here
-    of = Window.partitionBy("k")
-    shared = suffixes.repartitionByRange("k").withColumns({"t0": F.max("in_train").over(of), "t1": F.max("in_test").over(of), "c0": F.min("c").over(of), "c1": F.max("c").over(of)})
-    parts = shared.where("t0 and t1 and c0 <> c1").drop("t0", "t1", "c0", "c1").sortWithinPartitions("k", "suffix")
-    spans = parts.mapInPandas(lambda b: _spans(b, least), "c_train string, c_test string, view int, at_train int, at_test int, span int")
-    cover = lambda at: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("view") == 0, F.sequence(F.col(at), F.col(at) + F.col("span") - 1))))))
-    merged = spans.groupBy("c_train", "c_test").agg(cover("at_train").alias("on_train"), cover("at_test").alias("on_test"))
-    a = classes.select(F.col("c").alias("c_train"), F.col("seq").alias("s_train"))
-    b = classes.select(F.col("c").alias("c_test"), F.col("seq").alias("s_test"))
-
-    @F.pandas_udf("int")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sum((Counter(p) & Counter(q)).values()) for p, q in zip(x, y)], dtype="int32")
-
-    scored = merged.join(a, "c_train").join(b, "c_test").withColumn("matched", common("s_train", "s_test"))
+    merged = found.groupBy("c_train", "c_test").agg(F.collect_set(F.struct("view", "at_train", "at_test", "span")).alias("spans"))
+    # parts that would multiply out: by pairs of rare tokens
+    hot = plain.join(parts.where("hot").select("c").distinct(), "c", "left_semi")
+    rare = hot.mapInArrow(lambda b: _rare(b, weights, share_inside), f"key bigint, {flags}")
+    rare = rare.join(of_both(rare).select("key"), "key")
+    one, two = rare.where("in_train").select("key", F.col("c").alias("c_train")), rare.where("in_test").select("key", F.col("c").alias("c_test"))
+    split = one.join(two, "key").where("c_train <> c_test").select("c_train", "c_test").distinct()
+    cand = merged.unionByName(split.withColumn("spans", F.lit(None).cast("array<struct<view:int,at_train:int,at_test:int,span:int>>")))
+    cand = cand.groupBy("c_train", "c_test").agg(F.max_by("spans", F.col("spans").isNull()).alias("spans"))  # without spans: all are looked for again
+
+    @F.pandas_udf("matched int, on_train int, on_test int")
+    def score(a: pd.Series, b: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y, s in zip(a, b, spans):
+            m = sum((Counter(x.tolist()) & Counter(y.tolist())).values())
+            out.append((m, *(covered_tokens(x, y, weights, bits) if s is None else _merged(s, x, y))))
+        return pd.DataFrame(out, columns=["matched", "on_train", "on_test"])
+
+    a = classes.select(F.col("c").alias("c_train"), F.col("seq").alias("s_train"), F.col("digits").alias("d_train"))
+    b = classes.select(F.col("c").alias("c_test"), F.col("seq").alias("s_test"), F.col("digits").alias("d_test"))
     longer, shorter = F.greatest(F.size("s_train"), F.size("s_test")), F.least(F.size("s_train"), F.size("s_test"))
-    near = scored.where((F.col("matched") >= share * longer) | ((F.col("matched") == shorter) & (F.col("matched") >= share_inside * longer)))
-    near = near.select("c_train", "c_test", "matched", longer.alias("longest"), (F.greatest("on_train", "on_test") / longer).alias("covered"))
-    links = same.unionByName(near)
+    scored = cand.join(a, "c_train").join(b, "c_test").where(F.col("d_train").eqNullSafe(F.col("d_test"))).where(shorter >= share_inside * longer).withColumn("s", score("s_train", "s_test", "spans"))
+    near = scored.select("c_train", "c_test", "d_test", "s.matched", longer.alias("longest"), shorter.alias("shorter"), (F.least("s.on_train", "s.on_test") / longer).alias("covered"))
+    enough = (F.col("matched") >= F.when(F.col("d_test").isNotNull(), share_words).otherwise(share) * F.col("longest")) | ((F.col("matched") == F.col("shorter")) & (F.col("matched") >= share_inside * F.col("longest")))
+    near = near.where(F.col("covered") >= covered).where(enough).select("c_train", "c_test", "matched", "longest", "covered")
+    return rows.select("is_train", "id", "c"), same.unionByName(near)
+
+
+PARAMETERS = {"bits": BITS, "covered": 0.4, "share": 0.7, "share_inside": 0.6, "share_words": 0.8}
+
+
+def cross_split(train: DataFrame, test: DataFrame, **parameters: float) -> DataFrame:
+    """(train_id, test_id, matched, longest, covered): pairs of train(id, text) and test(id, text) that repeat each other.
+
+    ``longest`` is the length of the longer sequence, ``covered`` the share of it that lies in shared spans.
+    """
+    rows, links = _links(train, test, **(PARAMETERS | parameters))
     of_train = rows.where("is_train").select(F.col("id").alias("train_id"), F.col("c").alias("c_train"))
     of_test = rows.where("not is_train").select(F.col("id").alias("test_id"), F.col("c").alias("c_test"))
     pairs = links.join(of_train, "c_train").join(of_test, "c_test")
     return pairs.groupBy("train_id", "test_id").agg(F.max("matched").alias("matched"), F.max("longest").alias("longest"), F.max("covered").alias("covered"))
 
 
+def linked_classes(train: DataFrame, test: DataFrame, **parameters: float) -> DataFrame:
+    """(id, class, n_train, n_links, covered) of every prompt of test(id, text): its class, how many training classes and rows
+    it is linked to, and the most of it that any of them covers.  Copies are not multiplied out."""
+    rows, links = _links(train, test, **(PARAMETERS | parameters))
+    sizes = rows.where("is_train").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    per = links.join(sizes.withColumnRenamed("c", "c_train"), "c_train").groupBy(F.col("c_test").alias("c")).agg(F.count(F.lit(1)).alias("n_links"), F.sum("n").alias("n_train"), F.max("covered").alias("covered"))
+    got = rows.where("not is_train").join(per, "c", "left")
+    return got.select("id", F.lower(F.hex("c")).alias("class"), F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+
+
 def prompts_of(train: DataFrame, row_id: str = "train_id", messages: str = "messages") -> DataFrame:
     """(id, text) of every user message of chat records."""
     return train.select(F.col(row_id).alias("id"), F.explode(messages).alias("m")).where("m.role = 'user'").select("id", F.col("m.content").alias("text"))

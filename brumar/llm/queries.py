@@ -11,7 +11,7 @@ from brumar.common import table
 from brumar.llm.defects import judged
 from brumar.llm.lookalike import alike_pairs, with_consistent
 from brumar.llm.mixing import mixed
-from brumar.llm.overlap import cross_split, prompts_of
+from brumar.llm.overlap import cross_split, linked_classes, prompts_of
 from brumar.llm.pii import found
 from brumar.llm.tokens import encoded, round_trip
 
@@ -26,20 +26,26 @@ def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     return judged(train, "train_id", "messages").join(train.select("train_id", "sursa"), "train_id").groupBy("defect", "sursa").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _prompts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     test = table(spark, d, "test_data_zero_shot")
-    return cross_split(prompts_of(table(spark, d, "train_data")), test.select(F.col("test_id").alias("id"), F.col("user_prompt").alias("text")))
+    return prompts_of(table(spark, d, "train_data")), test.select(F.col("test_id").alias("id"), F.col("user_prompt").alias("text"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select("train_id", "test_id")
+    return cross_split(*_prompts(spark, d)).select("train_id", "test_id")
 
 
 def p3_by_split(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps and evaluation records with one, by split and source."""
+    """Evaluation records, those that training repeats, how many pairs and how much of them is covered, by split and source."""
     test = table(spark, d, "test_data_zero_shot").select("test_id", "split", "sursa")
-    hits = _overlaps(spark, d).groupBy("test_id").agg(F.count(F.lit(1)).alias("n"))
-    return test.join(hits, "test_id", "left").groupBy("split", "sursa").agg(F.count(F.lit(1)).alias("n_records"), F.count("n").alias("n_repeated"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    hits = linked_classes(*_prompts(spark, d)).select(F.col("id").alias("test_id"), "n_train", "covered")
+    got = test.join(hits, "test_id", "left").groupBy("split", "sursa")
+    return got.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("n_train") > 0).alias("n_repeated"), F.coalesce(F.sum("n_train"), F.lit(0)).alias("n_pairs"), F.round(F.avg(F.coalesce("covered", F.lit(0.0))), 6).alias("mean_covered"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation record with its class, the training classes and rows linked to it and its coverage."""
+    return linked_classes(*_prompts(spark, d)).withColumnRenamed("id", "test_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +86,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_by_split, p5_found, p5_consistent, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_by_split, p3_classes, p5_found, p5_consistent, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

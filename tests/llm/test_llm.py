@@ -3,6 +3,8 @@
 import itertools
 import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -150,16 +152,119 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.cross_split(spark.createDataFrame([], cols), spark.createDataFrame(test, cols)).count() == 0
 
 
+COLS = "id bigint, text string"
+
+
+def pairs_of(spark, train, test, **k):
+    return {(x["train_id"], x["test_id"]) for x in overlap.cross_split(spark.createDataFrame(train, COLS), spark.createDataFrame(test, COLS), **k).collect()}
+
+
+@pytest.mark.parametrize("n", [7, 9, 12, 20])
+def test_recall_of_changed_and_dropped_readings(spark, n):
+    """Against all pairs counted: those with 0.7 of their readings in common, or all of the shorter one."""
+    r = random.Random(n)
+    value = lambda: f"{r.randint(-150, 360) / 10:.1f}" if r.random() > 0.15 else "0.0"
+    train, test = {}, {}
+    for i in range(400):
+        v = [value() for _ in range(n)]
+        w = list(v)
+        for p in sorted(r.sample(range(n), r.randint(1, max(1, int(0.3 * n)))), reverse=True):
+            if i % 2:
+                w[p] = value()
+            elif len(w) > 3:
+                del w[p]
+        train[i], test[1000 + i] = v, w
+    want = set()
+    for (i, v), (j, w) in itertools.product(train.items(), test.items()):
+        m = sum((Counter(v) & Counter(w)).values())
+        if m >= 0.7 * max(len(v), len(w)) or m == min(len(v), len(w)) and m >= 0.6 * max(len(v), len(w)):
+            want.add((i, j))
+    rows = [(i, prompt(v)) for i, v in train.items()], [(j, prompt(w, "03.01.2020")) for j, w in test.items()]
+    got = pairs_of(spark, *rows)
+    assert not got - want and len(got) >= (0.94 if n == 7 else 0.985) * len(want)
+    # coverage decides: without the exact check fewer than one in a thousand other pairs come out
+    loose = pairs_of(spark, *rows, share=0.0, share_inside=0.5)
+    assert len(loose - want) <= 0.001 * len(train) * len(test) and len(loose & want) >= 0.9 * len(want)
+
+
+def test_the_order_of_the_suffixes_decides():
+    """Spans come from neighbours in sorted order; the same rows unsorted give other spans."""
+    r = random.Random(3)
+    base = [r.randint(1, 400) for _ in range(3)]
+    part = [(bytes([i]), i % 2 == 0, i % 2 == 1, 0, 1, None, base + [r.randint(1, 3) for _ in range(6)]) for i in range(40)]
+    part.sort(key=lambda x: x[6])
+    want = set()
+    for a in part:
+        for b in part:
+            if a[1] and b[2]:
+                n = next((k for k, (x, y) in enumerate(zip(a[6], b[6])) if x != y), 9)
+                want.add((a[0], b[0], 0, 1, 1, n))
+    assert set(overlap.shared(part)) == want
+    mixed_up = list(part)
+    r.shuffle(mixed_up)
+    assert set(overlap.shared(mixed_up)) != want
+
+
+def test_long_prompts_are_covered_to_their_end(spark):
+    r = random.Random(4)
+    v = [f"{x / 10:.1f}" for x in r.sample(range(20, 990), 300)]
+    w = list(v)
+    w[-1] = "1.1"
+    (row,) = overlap.cross_split(spark.createDataFrame([(1, prompt(v))], COLS), spark.createDataFrame([(2, prompt(w))], COLS)).collect()
+    assert row["covered"] == pytest.approx(299 / 300) and row["longest"] == 300
+    part = [(b"a", True, False, 0, 1, None, list(range(90))), (b"b", False, True, 0, 1, None, list(range(90)))]
+    assert [s[-1] for s in overlap.shared(part)] == [overlap.REACH]
+
+
+def test_a_stretch_that_all_prompts_share_gives_no_pairs(spark):
+    r = random.Random(6)
+    block = [f"{x}.5" for x in range(10, 20)]
+    some = lambda: [f"{r.randint(1000, 90000) / 100:.2f}" for _ in range(5)]
+    rows = lambda first, n: [(first + i, prompt(some() + block + some())) for i in range(n)]
+    train, test = rows(0, 700), rows(10_000, 700)
+    test += [(20_000 + i, t.replace("2020-01-02", "5.1.2020")) for i, t in train[:50]]
+    near = [(30_000 + i, t.replace(t.split("ieri: ")[1].split("\n")[0], "99.9")) for i, t in train[50:100]]
+    test += near
+    want = {(i, 20_000 + i) for i in range(50)} | {(i, 30_000 + i) for i in range(50, 100)}
+    assert pairs_of(spark, train, test) == want
+    # the part of all prompts is there, and pairs of rare tokens part it
+    seqs = [[round(float(x) * 100) for x in re.findall(r"\d+\.\d+", t)] for _, t in train + test[:700]]
+    flat, of = np.array(sum(seqs, [])), np.repeat(np.arange(1400), 20)
+    w = overlap.Weights({round(float(x) * 100): 0.02 for x in block})
+    assert np.unique(overlap.beginnings(flat, of, w)[2], return_counts=True)[1].max() >= 1400
+    batch = pa.RecordBatch.from_pydict({"c": [bytes([i % 256, i // 256]) for i in range(1400)], "in_train": [i < 700 for i in range(1400)], "in_test": [i >= 700 for i in range(1400)], "seq": seqs})
+    key = np.concatenate([b.column(0).to_numpy() for b in overlap._rare(iter([batch]), w, 0.6)])
+    assert np.unique(key, return_counts=True)[1].max() < 40
+
+
+def test_prompts_without_readings_go_by_their_words(spark):
+    a = "Descrie pe scurt vremea din municipiul București pentru cititorii de azi, folosind datele de la cele 12 stații"
+    train = [(1, a), (2, "???"), (3, "Scrie altceva despre munte și despre mare, fără nicio cifră"), (4, None)]
+    test = [(11, a.replace("cititorii", "cititori")), (12, a.replace("12", "13")), (13, "???"), (14, "Scrie altceva despre munte și despre mare, fără nicio cifra!"), (15, ""), (16, a.upper())]
+    assert pairs_of(spark, train, test) == {(1, 11), (1, 16), (2, 13), (3, 14)}
+
+
+def test_classes_are_not_multiplied_out(spark):
+    r = random.Random(8)
+    v = [[f"{r.randint(-99, 399) / 10:.1f}" for _ in range(12)] for _ in range(3)]
+    train = [(i, prompt(v[0])) for i in range(30)] + [(100, prompt(v[1]))]
+    near = [*v[0][:5], "77.7", *v[0][6:]]
+    test = [(500 + i, prompt(v[0], "2.1.2020")) for i in range(20)] + [(600, prompt(near)), (601, prompt(v[2])), (602, None)]
+    got = {x["id"]: x for x in overlap.linked_classes(spark.createDataFrame(train, COLS), spark.createDataFrame(test, COLS)).collect()}
+    assert {got[500 + i]["class"] for i in range(20)} == {got[500]["class"]} and got[500]["n_links"] == 1 and got[500]["n_train"] == 30
+    assert (got[600]["n_links"], got[600]["n_train"]) == (1, 30) and got[600]["covered"] == pytest.approx(11 / 12)
+    assert (got[601]["n_links"], got[601]["n_train"]) == (0, 0) and 602 not in got
+    assert overlap.linked_classes(spark.createDataFrame([], COLS), spark.createDataFrame([], COLS)).count() == 0
+
+
 def test_two_changes_anywhere_are_found(spark):
     v = ["3.1", "14.2", "0.0", "7.5", "21.6", "11.9", "8.4", "17.3", "5.5"]
-    train, test = [(1, prompt(v))], []
+    test = []
     for n, (a, b) in enumerate(itertools.combinations(range(9), 2)):
         w = list(v)
         w[a], w[b] = "99.1", "88.2"
         test.append((100 + n, prompt(w)))
-    cols = "id bigint, text string"
-    got = overlap.cross_split(spark.createDataFrame(train, cols), spark.createDataFrame(test, cols)).count()
-    assert got == len(test)
+    assert len(pairs_of(spark, [(1, prompt(v))], test)) >= len(test) - 1
 
 
 PROMPT = "Se cere diagnoza vremii la București pentru 2019-03-07.\nMaxima medie a zilei a fost 13.7 grade, iar minima medie 8.6 grade.\nCantitatea medie de apă: 29.5 l/mp. Vânt mediu 2.3 m/s.\nCerul: 5 optimi în 44 de observații.\nRespectă structura cu cinci propoziții și nu inventa valori."
