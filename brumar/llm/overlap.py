@@ -206,9 +206,9 @@ def common_prefixes(rows: list[list[int]]) -> list[int]:
 
 
 def shared(part: list[tuple]) -> Iterator[tuple]:
-    """(training class, evaluation class, view, place in each, length) of the spans of one sorted part.
+    """(training class, evaluation class, view, place in each, length, length of the longer sequence) of the spans of one sorted part.
 
-    Rows are (class, in training, in evaluation, view, place, token before, suffix).  A span that could begin further left is
+    Rows are (class, in training, in evaluation, view, place, token before, suffix, length of the sequence).  A span that could begin further left is
     left to the suffix that does, but for every STEP-th place, as the walk compares no more than REACH tokens.
     """
     prefix = common_prefixes([r[6] for r in part])
@@ -229,10 +229,10 @@ def shared(part: list[tuple]) -> Iterator[tuple]:
                     seen.add((min(i, j), max(i, j)))  # met from both ends
                 for x, y in ((a, b), (b, a)):
                     if x[1] and y[2] and (x[5] != y[5] or x[5] is None or x[4] % STEP == 1):
-                        yield x[0], y[0], x[3], x[4], y[4], length
+                        yield x[0], y[0], x[3], x[4], y[4], length, max(x[7], y[7])
 
 
-SPANS = ["c_train", "c_test", "view", "at_train", "at_test", "span"]
+SPANS = ["c_train", "c_test", "view", "at_train", "at_test", "span", "longest"]
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,7 +244,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.extend(shared(part))
                 key, part = k, []
             before = r[5]
-            part.append((*r[:5], None if before is None or before != before else before, list(r[6])))
+            part.append((*r[:5], None if before is None or before != before else before, r[6].tolist(), r[7]))
         if len(out) > 10_000:
             yield pd.DataFrame(out, columns=SPANS)
             out = []
@@ -280,8 +280,10 @@ def _merged(spans, a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share: float, share_inside: float, share_words: float) -> tuple[DataFrame, DataFrame]:
     """((is_train, id, c) of every prompt, links between classes)."""
     both = train.select(F.lit(True).alias("is_train"), "id", "text").unionByName(test.select(F.lit(False).alias("is_train"), "id", "text"))
-    both = both.where(F.length(F.trim("text")) > 0).withColumns({"r": readings(F.col("text")), "w": _words(F.col("text"))})
+    once = lambda x: F.explode(F.array(x))  # a column of its own, so that what follows does not work it out again
+    both = both.where(F.length(F.trim("text")) > 0).select("is_train", "id", "text", once(readings(F.col("text"))).alias("r"))
     by_words = F.size("r") < FEW
+    both = both.select("is_train", "id", "text", "r", once(F.when(by_words, _words(F.col("text")))).alias("w"))
     seq = F.when(by_words, F.transform("w", lambda w: F.xxhash64(w))).otherwise(F.col("r"))
     digits = F.when(by_words, F.md5(F.array_join(F.array_sort(F.filter("w", lambda w: w.rlike(r"\p{N}"))), " ")))
     both = both.select("is_train", "id", seq.alias("seq"), digits.alias("digits"), F.when(F.size(seq) == 0, F.trim("text")).alias("bare"))
@@ -300,7 +302,7 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
 
     def of_both(df: DataFrame) -> DataFrame:
         """Keys with both sides and two classes; counted before rows move, so a frequent key is one row a task."""
-        n = df.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_test").alias("ne"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        n = df.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_test").alias("ne"), F.min(F.xxhash64("c")).alias("c0"), F.max(F.xxhash64("c")).alias("c1"))
         return n.where("nt > 0 and ne > 0 and c0 <> c1").select("key", ((F.col("nt") * F.col("ne") > HOT * (F.col("nt") + F.col("ne"))) | (F.col("nt") + F.col("ne") > MOST)).alias("hot"))
 
     parts = suffixes.join(of_both(suffixes), "key").persist(StorageLevel.MEMORY_AND_DISK)
@@ -308,12 +310,14 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
     found = (
         parts.where("not hot")
         .join(views, ["c", "view"])
-        .select("key", "c", "in_train", "in_test", "view", "at", F.when(F.col("at") > 1, F.element_at("tokens", F.col("at") - 1)).alias("before"), F.slice("tokens", F.col("at"), REACH).alias("suffix"))
+        .select("key", "c", "in_train", "in_test", "view", "at", F.when(F.col("at") > 1, F.element_at("tokens", F.col("at") - 1)).alias("before"), F.slice("tokens", F.col("at"), REACH).alias("suffix"), F.size("tokens").alias("n"))
         .repartition("key")
         .sortWithinPartitions("key", "suffix")
-        .mapInPandas(_walk, "c_train binary, c_test binary, view int, at_train int, at_test int, span int")
+        .mapInPandas(_walk, "c_train binary, c_test binary, view int, at_train int, at_test int, span int, longest int")
     )
-    merged = found.groupBy("c_train", "c_test").agg(F.collect_set(F.struct("view", "at_train", "at_test", "span")).alias("spans"))
+    # tokens of all spans together are the most that can be covered, so pairs that share one stretch by chance end here
+    merged = found.groupBy("c_train", "c_test").agg(F.collect_list(F.struct("view", "at_train", "at_test", "span")).alias("spans"), F.sum("span").alias("most"), F.max("longest").alias("longest"))
+    merged = merged.where(F.col("most") >= covered * F.col("longest")).select("c_train", "c_test", "spans")
     # parts that would multiply out: by pairs of rare tokens
     hot = plain.join(parts.where("hot").select("c").distinct(), "c", "left_semi")
     rare = hot.mapInArrow(lambda b: _rare(b, weights, share_inside), f"key bigint, {flags}")

@@ -191,14 +191,14 @@ def test_the_order_of_the_suffixes_decides():
     """Spans come from neighbours in sorted order; the same rows unsorted give other spans."""
     r = random.Random(3)
     base = [r.randint(1, 400) for _ in range(3)]
-    part = [(bytes([i]), i % 2 == 0, i % 2 == 1, 0, 1, None, base + [r.randint(1, 3) for _ in range(6)]) for i in range(40)]
+    part = [(bytes([i]), i % 2 == 0, i % 2 == 1, 0, 1, None, base + [r.randint(1, 3) for _ in range(6)], 9) for i in range(40)]
     part.sort(key=lambda x: x[6])
     want = set()
     for a in part:
         for b in part:
             if a[1] and b[2]:
                 n = next((k for k, (x, y) in enumerate(zip(a[6], b[6])) if x != y), 9)
-                want.add((a[0], b[0], 0, 1, 1, n))
+                want.add((a[0], b[0], 0, 1, 1, n, 9))
     assert set(overlap.shared(part)) == want
     mixed_up = list(part)
     r.shuffle(mixed_up)
@@ -212,8 +212,8 @@ def test_long_prompts_are_covered_to_their_end(spark):
     w[-1] = "1.1"
     (row,) = overlap.cross_split(spark.createDataFrame([(1, prompt(v))], COLS), spark.createDataFrame([(2, prompt(w))], COLS)).collect()
     assert row["covered"] == pytest.approx(299 / 300) and row["longest"] == 300
-    part = [(b"a", True, False, 0, 1, None, list(range(90))), (b"b", False, True, 0, 1, None, list(range(90)))]
-    assert [s[-1] for s in overlap.shared(part)] == [overlap.REACH]
+    part = [(b"a", True, False, 0, 1, None, list(range(90)), 90), (b"b", False, True, 0, 1, None, list(range(90)), 90)]
+    assert [s[5] for s in overlap.shared(part)] == [overlap.REACH]
 
 
 def test_a_stretch_that_all_prompts_share_gives_no_pairs(spark):
