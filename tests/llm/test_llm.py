@@ -306,6 +306,35 @@ def test_defects_found_and_sound_answers_left(spark):
     assert defects.judged(nothing.limit(0), "train_id", "messages").count() == 0
 
 
+def test_the_label_model_decides():
+    """Any vote, or most votes, would take sound answers for truncated ones; the model learns which votes to trust."""
+    r = random.Random(4)
+    telegram = "BUCUREȘTI. Vremea a fost caldă, cu o maximă medie de 13.7 °C. Temperatura maximă: Filaret 7.1 °C, Băneasa 7.0 °C, Afumați 6.9 °C"
+    answers = [(SOUND.replace("13.7", f"{r.randint(1, 300) / 10}"), False) for _ in range(900)] + [(telegram.replace("7.1", f"{r.randint(1, 90) / 10}"), False) for _ in range(30)]
+    answers += [(PROMPT.rstrip("."), False) for _ in range(12)] + [(SOUND[: r.choice([90, 110, 150, 190])].rstrip(" .0123456789"), True) for _ in range(25)]
+    got = [defects.votes(PROMPT, a)["truncated"] for a, _ in answers]
+    count = Counter(got)
+    m = defects.LabelModel(list(count), list(count.values()), defects.FUNCTIONS["truncated"])
+    post = dict(zip(count, m.posterior(list(count))))
+    truth = [t for _, t in answers]
+    planted = defects.planted([(PROMPT, a) for a, _ in answers[:60]])
+    bad, good = (m.posterior([defects.votes(u, a)["truncated"] for k, p in planted.items() if (k == "truncated") == yes for u, a in p]) for yes in (True, False))
+    cutoff = defects.chosen_cutoff(bad, good)
+    assert [post[v] > cutoff for v in got] == truth
+    assert ["+" in v for v in got] != truth  # any vote
+    # cutoffs matter: one that nothing was validated on gives other rows
+    assert any((post[v] > 0.01) != t for v, t in zip(got, truth))
+
+
+def test_a_record_keeps_several_defects(spark):
+    long_no = "I'm sorry, but I cannot help with this request for the city. As an AI language model I am not able to write a weather report for the day that was given. Unfortunately I cannot do so at all, and I must decline to write it. Please contact another service for this request."
+    rows = [(str(i), [("user", PROMPT), ("assistant", SOUND.replace("13.7", f"{i}.3"))]) for i in range(200)]
+    rows += [("x", [("user", PROMPT), ("assistant", long_no)]), ("y", [("user", PROMPT), ("assistant", "I'm sorry, but I can't help with this.")])]
+    df = spark.createDataFrame(rows, "train_id string, messages array<struct<role:string,content:string>>")
+    got = {(x["train_id"], x["defect"]) for x in defects.judged(df, "train_id", "messages").collect()}
+    assert got == {("x", "refusal"), ("x", "other_language"), ("y", "refusal")}
+
+
 def test_label_model_finds_the_rare_class():
     r = np.random.default_rng(0)
     truth = r.random(5000) < 0.03
