@@ -133,21 +133,49 @@ def point_distance(t: Column, low: Column, high: Column) -> Column:
     return F.when((t + low + high).isNotNull(), F.greatest(F.lit(0.0), low - t, t - high))
 
 
+def placed(text: Column, pattern: str) -> Column:
+    """(start, hit) of every match of a pattern, from the lengths of the matches and of what lies between them."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+    got = F.transform(hits, lambda h, k: F.struct((total(F.slice(gaps, 1, k + 1)) + total(F.slice(hits, 1, k))).alias("start"), h.alias("hit")))
+    return F.when(text.isNotNull(), got).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+
+
+_NUMBER, _UNIT = r"(-?\d+(?:\.\d+)?)", r"(?:°\s*C|deg\s*C|grad[ei]?(?:\s+Celsius)?|C(?![\p{L}\d]))"
+_APART = r"(?<![\p{L}\d])"
+_BRACKET = rf"(?iu)\[\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\](?:\s*°?\s*C)?"
+_WORDED = {"between": rf"(?iu){_APART}[iî]ntre\s+{_NUMBER}\s+[sș]i\s+{_NUMBER}(?:\s*{_UNIT})?", "over": rf"(?iu){_APART}peste\s+{_NUMBER}\s*{_UNIT}", "under": rf"(?iu){_APART}sub\s+{_NUMBER}\s*{_UNIT}"}
+
+
+def _ends(pattern: str, ends) -> callable:
+    number = lambda hit, k: F.regexp_extract(hit, pattern, k).cast("double")
+
+    def of(text: Column) -> Column:
+        def one(m: Column) -> Column:
+            low, high = ends(lambda k: number(m["hit"], k))
+            return F.struct(low.alias("low"), high.alias("high"), (m["start"] + F.length(m["hit"]) / 2).alias("middle"))
+
+        return F.transform(placed(text, pattern), one)
+
+    return of
+
+
+_FORMS = [_ends(_BRACKET, lambda n: (n(1), n(2))), _ends(_WORDED["between"], lambda n: (n(1), n(2))), _ends(_WORDED["over"], lambda n: (n(1), n(1) + 2)), _ends(_WORDED["under"], lambda n: (n(1) - 2, n(1)))]
+
+
 def bracket_intervals(text: Column) -> Column:
-    """(low, high) of every '[x, y]'."""
-    p = r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]"
-    return F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("b")), lambda z: F.struct(z["a"].cast("double").alias("low"), z["b"].cast("double").alias("high")))
+    """(low, high, middle) of every '[x, y]'; middle is the place of its middle."""
+    return _FORMS[0](text)
 
 
 def worded_intervals(text: Column) -> Column:
-    """(low, high) of 'între A și B', 'peste A °C' (A, A+2) and 'sub A °C' (A-2, A)."""
-    n, unit = r"(-?\d+(?:\.\d+)?)", r"\s*(?:°\s*[Cc]|deg\s*[Cc]|grade?(?:\s+Celsius)?|[Cc]\b)"
-    ex = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
-    between = rf"(?iu)\b[iî]ntre\s+{n}\s+(?:si|și)\s+{n}"
-    pair = F.transform(F.arrays_zip(ex(between, 1).alias("a"), ex(between, 2).alias("b")), lambda z: F.struct(z["a"].cast("double").alias("low"), z["b"].cast("double").alias("high")))
-    over = F.transform(ex(rf"(?iu)\bpeste\s+{n}{unit}", 1), lambda s: F.struct(s.cast("double").alias("low"), (s.cast("double") + 2).alias("high")))
-    under = F.transform(ex(rf"(?iu)\bsub\s+{n}{unit}", 1), lambda s: F.struct((s.cast("double") - 2).alias("low"), s.cast("double").alias("high")))
-    return F.concat(pair, over, under)
+    """(low, high, middle) of 'între A și B', 'peste A °C' (A, A+2) and 'sub A °C' (A-2, A); the last two need a unit."""
+    return F.concat(*[f(text) for f in _FORMS[1:]])
+
+
+def intervals(text: Column) -> Column:
+    """Bracketed intervals, then worded ones."""
+    return F.concat(bracket_intervals(text), worded_intervals(text))
 
 
 def wind_band(speed: Column) -> Column:

@@ -180,64 +180,160 @@ def worded_intervals(spark, d):
     return w.select("doc_id", (F.size("w") - F.size("p")).alias("n_between"), F.size("p").alias("n_over"), F.when(F.size("p") > 0, F.round(total, 6)).alias("sum_over"))
 
 
-def _stage(spark, d):
-    """Stations that should be named (those of Bucharest), predicted intervals (every second station of the registry) and true means by month."""
-    from brumar.plans.sensors import daily, dim
-
-    days = daily(spark, d).where("tmax is not null and tmin is not null")
-    value = days.groupBy("entity").agg(F.avg((F.col("tmax") + F.col("tmin")) / 2).alias("t"))
-    dm = dim(spark, d)
-    m = spark.range(11, 13).select(F.col("id").alias("month"))
-    truth = dm.where("grp = 'BUCURESTI'").select("entity").crossJoin(m)
-    pred = dm.where(F.length("entity") % 2 == 0).select("entity", (2.0 * (F.length("entity") % 7) - 4).alias("low")).withColumn("high", F.col("low") + 2).crossJoin(m)
-    return truth, pred, value
-
-
-@query("""WITH v AS (SELECT entity, avg((tmax + tmin) / 2) AS t FROM daily WHERE tmax IS NOT NULL AND tmin IS NOT NULL GROUP BY 1), mm AS (SELECT * FROM (VALUES (11), (12)) k(month)),
-tr AS (SELECT month, entity FROM dim, mm WHERE grp = 'BUCURESTI'), pr AS (SELECT month, entity, 2.0 * (length(entity) % 7) - 4 AS low, 2.0 * (length(entity) % 7) - 2 AS high FROM dim, mm WHERE length(entity) % 2 = 0),
-j AS (SELECT coalesce(tr.month, pr.month) AS month, coalesce(tr.entity, pr.entity) AS entity, tr.entity IS NOT NULL AS a, pr.entity IS NOT NULL AS b, low, high FROM tr FULL JOIN pr ON tr.month = pr.month AND tr.entity = pr.entity),
-s AS (SELECT month, a, b, t, CASE WHEN t IS NULL THEN NULL WHEN a AND b THEN greatest(0, low - t, t - high) WHEN a THEN 2.0 ELSE greatest(2.0, low - t, t - high) END AS dd FROM j LEFT JOIN v ON j.entity = v.entity)
-SELECT CAST(month AS BIGINT) AS month, round(coalesce(avg(dd), 2.0), 6)::DOUBLE AS d_bar, count(*) FILTER (WHERE t IS NOT NULL AND a AND b) AS n_intersection, count(*) FILTER (WHERE t IS NOT NULL AND a AND NOT b) AS n_missed, count(*) FILTER (WHERE t IS NOT NULL AND NOT a) AS n_false_positive, count(*) FILTER (WHERE t IS NULL) AS n_unscorable, round(1 / (1 + coalesce(avg(dd), 2.0) / 2), 6)::DOUBLE AS accuracy FROM s GROUP BY 1""".replace("WITH v", "WITH {daily}, {dim}, v"))
-def interval_distance_score(spark, d):
-    truth, pred, value = _stage(spark, d)
-    s = Z.interval_score(truth, pred, value, ["month"])
-    return s.select("month", F.round("d_bar", 6).alias("d_bar"), *[c for c in s.columns if c.startswith("n_")], F.round("accuracy", 6).alias("accuracy"))
-
+# the same zones in SQL: every place of every phrase is looked at, and a phrase keeps its place if none of better rank overlaps it
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+_WORDS_SQL = "vocab(phrase, axis, zone, rk) AS (VALUES " + ", ".join(f"({_q(p)}, {_q(a)}, {_q(z)}, {i})" for i, (p, a, z) in enumerate(Z.vocabulary())) + ")"
+_SIDES_SQL = "sides(word, side, rk) AS (VALUES " + ", ".join(f"({_q(w)}, {_q(x)}, {i})" for i, (w, x) in enumerate(Z.directions())) + ")"
+_NEUTRAL_SQL = "(^|[^a-z0-9])(" + "|".join(Z.NEUTRAL) + ")($|[^a-z0-9])"
+SENTENCES = f"""{MONTHLY}, sent AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS sentence, parts[i] AS s FROM (SELECT doc_id, string_split(regexp_replace(text, '\\.\\s+', '.' || chr(1), 'g'), chr(1)) AS parts FROM m), unnest(generate_series(1, len(parts))) AS g(i))"""
+ZONES = f"""{_WORDS_SQL}, {_SIDES_SQL}, {{source}},
+pl AS (SELECT *, lower(translate(s, '{X.ACCENTED}', '{X.PLAIN}')) AS p FROM src),
+hit AS (SELECT doc_id, sentence, s, p, i AS start, i + length(phrase) AS stop, axis, zone, rk FROM pl, vocab, unnest(generate_series(0, length(p) - length(phrase))) AS g(i)
+  WHERE contains(p, phrase) AND substr(p, i + 1, length(phrase)) = phrase AND (i = 0 OR NOT regexp_matches(substr(p, i, 1), '[a-z0-9]')) AND NOT regexp_matches(substr(p, i + 1 + length(phrase), 1), '[a-z0-9]')),
+kept AS (SELECT * FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit o WHERE o.doc_id = h.doc_id AND o.sentence = h.sentence AND o.rk < h.rk AND o.start < h.stop AND h.start < o.stop)),
+win AS (SELECT *, CASE WHEN start = 0 THEN '' ELSE substr(p, greatest(start - {Z.LOOK_BACK}, 0) + 1, least(start, {Z.LOOK_BACK})) END AS before FROM kept),
+z AS (SELECT doc_id, sentence, start, substr(s, start + 1, stop - start) AS raw, axis, zone, CASE WHEN axis <> 'climatic' AND NOT regexp_matches(before, '{_NEUTRAL_SQL}') THEN (SELECT arg_min(side, sides.rk) FROM sides WHERE regexp_matches(before, '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')) END AS cardinal FROM win)"""
+WHOLE = ZONES.format(source=f"{MONTHLY}, src AS (SELECT doc_id, 0 AS sentence, text AS s FROM m)")
+PARTS = ZONES.format(source=f"{SENTENCES}, src AS (SELECT * FROM sent)")
+
+
+@query(f"WITH {WHOLE} SELECT doc_id, raw, axis, zone, cardinal, CAST(start AS BIGINT) AS start FROM z")
+def zone_extraction(spark, d):
+    return monthly(spark, d).select("doc_id", F.explode(Z.zones_of(F.col("text"))).alias("z")).select("doc_id", "z.*")
 
-def _fill_in() -> None:
-    from brumar.plans.registry import SQL
-    from brumar.plans.sensors import DAILY, DIM
 
-    SQL["interval_distance_score"] = SQL["interval_distance_score"].replace("{daily}", DAILY).replace("{dim}", DIM)
+_N = r"(-?\d+(?:\.\d+)?)"
+_U = r"(?:°\s*C|deg\s*C|grad[ei]?(?:\s+Celsius)?|C\b)"
+_FORM_SQL = [(rf"\[\s*{_N}\s*,\s*{_N}\s*\](?:\s*°?\s*C)?", "a", "b"), (rf"[iîÎ]ntre\s+{_N}\s+[sșSȘ]i\s+{_N}(?:\s*{_U})?", "a", "b"), (rf"\bpeste\s+{_N}\s*{_U}", "a", "a + 2"), (rf"\bsub\s+{_N}\s*{_U}", "a - 2", "a")]
 
 
-_fill_in()
+def _form(k: int) -> str:
+    p, low, high = _FORM_SQL[k]
+    b = f"CAST(nullif(regexp_extract(h[i], '(?i){p}', 2), '') AS DOUBLE)" if k < 2 else "NULL"
+    at = "list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(h, 1, i - 1), lambda x: length(x))), 0)"
+    return f"SELECT doc_id, sentence, {k} * 1000 + i AS place, {low} AS low, {high} AS high, pos + len / 2 AS middle FROM (SELECT doc_id, sentence, i, CAST(regexp_extract(h[i], '(?i){p}', 1) AS DOUBLE) AS a, {b} AS b, {at} AS pos, length(h[i]) AS len FROM (SELECT doc_id, sentence, regexp_extract_all(s, '(?i){p}') AS h, string_split_regex(s, '(?i){p}') AS g FROM sent), unnest(generate_series(1, len(h))) AS k(i))"
 
 
-@query()
-def zone_extraction(spark, d):
-    return monthly(spark, d).select("doc_id", F.explode(Z.zones_of("text")).alias("z")).select("doc_id", "z.*")
+PREDICTED = f"""{PARTS}, iv AS ({' UNION ALL '.join(_form(k) for k in range(4))}),
+near AS (SELECT z.doc_id, z.sentence, z.start, z.axis, z.zone, z.cardinal, iv.low, iv.high, row_number() OVER (PARTITION BY z.doc_id, z.sentence, z.start ORDER BY abs(z.start - iv.middle), iv.place) AS rn FROM z JOIN iv ON z.doc_id = iv.doc_id AND z.sentence = iv.sentence),
+pred AS (SELECT doc_id, sentence, start, axis, zone, cardinal, 2 * floor((low + high) / 4) AS low, 2 * floor((low + high) / 4) + 2 AS high, abs(2 * floor((low + high) / 4) - low) > 1e-9 OR abs(2 * floor((low + high) / 4) + 2 - high) > 1e-9 AS moved FROM near WHERE rn = 1)"""
 
 
-@query()
+@query(f"WITH {PREDICTED} SELECT doc_id, sentence, CAST(start AS BIGINT) AS start, axis, zone, cardinal, low, high, moved FROM pred")
 def zone_predictions(spark, d):
     return Z.predictions(monthly(spark, d), "doc_id", "text")
 
 
-@query()
+@query(f"WITH {PREDICTED} SELECT doc_id, count(*) AS n_intervals, count(*) FILTER (WHERE moved) AS n_moved, round(1 - count(*) FILTER (WHERE moved) / count(*), 6) AS compliance FROM pred GROUP BY 1")
+def interval_compliance(spark, d):
+    """How many predictions of each paragraph lay on the grid of two degrees."""
+    got = Z.compliance(Z.predictions(monthly(spark, d), "doc_id", "text"), ["doc_id"])
+    return got.withColumn("compliance", F.round("compliance", 6))
+
+
+# the registry has regions and counties but no directions and no climatic zones: these are stand-ins by county and by the last letter of the station
+ZONE_TABLE = f"""reg AS (SELECT entity, parent AS pr, grp AS county, CASE parent WHEN 'MUNTENIA' THEN 'Muntenia' WHEN 'MOLDOVA' THEN 'Moldova' WHEN 'OLTENIA' THEN 'Oltenia' WHEN 'BANAT' THEN 'Banat-Crisana' END AS region, CASE grp WHEN 'BUCURESTI' THEN 'S' WHEN 'ILFOV' THEN 'N' WHEN 'DOLJ' THEN 'S' WHEN 'TIMIS' THEN 'V' WHEN 'IASI' THEN 'N' END AS cardinal FROM dim),
+names AS (SELECT 'region' AS axis, region AS zone, cardinal, entity, county FROM reg WHERE region IS NOT NULL UNION ALL SELECT 'region_part', u.z, cardinal, entity, county FROM reg, (VALUES ('Banat'), ('Crisana')) u(z) WHERE region = 'Banat-Crisana'),
+zt AS (SELECT axis, zone, NULL AS cardinal, entity, county FROM names UNION SELECT * FROM names WHERE cardinal IS NOT NULL UNION SELECT 'climatic', CASE WHEN entity LIKE '%A' THEN 'Litoral' ELSE 'Câmpie (zone joase extracarpatice)' END, NULL, entity, county FROM reg WHERE entity LIKE '%A' OR entity LIKE '%1')"""
+_REGION_OF = {"MUNTENIA": "Muntenia", "MOLDOVA": "Moldova", "OLTENIA": "Oltenia", "BANAT": "Banat-Crisana"}
+_SIDE_OF = {"BUCURESTI": "S", "ILFOV": "N", "DOLJ": "S", "TIMIS": "V", "IASI": "N"}
+
+
+def _zone_table(spark, d):
+    from brumar.plans.sensors import dim
+
+    pick = lambda c, m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col(c)]
+    st = dim(spark, d).select("entity", pick("parent", _REGION_OF).alias("region"), F.col("grp").alias("county"), pick("grp", _SIDE_OF).alias("cardinal"))
+    climatic = st.where("entity like '%A' or entity like '%1'").select(F.when(F.col("entity").like("%A"), "Litoral").otherwise("Câmpie (zone joase extracarpatice)").alias("zone"), "entity")
+    return Z.zone_table(st, climatic)
+
+
+@query("WITH {dim}, {zt}, {p} SELECT doc_id, pred.axis, pred.zone, pred.cardinal, count(*) AS n_stations FROM pred JOIN zt ON pred.axis = zt.axis AND pred.zone = zt.zone AND pred.cardinal IS NOT DISTINCT FROM zt.cardinal GROUP BY ALL")
+def zone_stations(spark, d):
+    """How many stations the predicted zones of each paragraph cover."""
+    return Z.at_stations(Z.predictions(monthly(spark, d), "doc_id", "text"), _zone_table(spark, d)).groupBy("doc_id", "axis", "zone", "cardinal").agg(F.count(F.lit(1)).alias("n_stations"))
+
+
+@query("WITH {dim}, {zt}, {p}, c AS (SELECT zt.axis, zt.zone, zt.cardinal, county, min(entity) AS f FROM zt WHERE county IS NOT NULL AND EXISTS (SELECT 1 FROM pred WHERE pred.axis = zt.axis AND pred.zone = zt.zone AND pred.cardinal IS NOT DISTINCT FROM zt.cardinal) GROUP BY ALL) SELECT axis, zone, cardinal, string_agg(county, ',' ORDER BY f, county) AS counties FROM c GROUP BY ALL")
+def zone_counties(spark, d):
+    """The counties of every zone that a paragraph predicts."""
+    return Z.counties(Z.predictions(monthly(spark, d), "doc_id", "text"), _zone_table(spark, d))
+
+
+@query("WITH {dim}, {zt}, {p}, s AS (SELECT doc_id, entity, low, high, row_number() OVER (PARTITION BY doc_id, entity ORDER BY sentence DESC, start DESC) AS rn FROM pred JOIN zt ON pred.axis = zt.axis AND pred.zone = zt.zone AND pred.cardinal IS NOT DISTINCT FROM zt.cardinal) SELECT doc_id, entity, low, high FROM s WHERE rn = 1")
 def zone_last_mention(spark, d):
-    return Z.last_mention(Z.predictions(monthly(spark, d), "doc_id", "text"), ["doc_id", "zone", "cardinal"], ["sentence", "start"])
+    """The interval of every station that a paragraph covers: that of its last mention."""
+    return _station_intervals(spark, d).select("doc_id", "entity", "low", "high")
 
 
-@query()
+def _station_intervals(spark, d):
+    named = Z.at_stations(Z.predictions(monthly(spark, d), "doc_id", "text"), _zone_table(spark, d))
+    return Z.last_mention(named, ["doc_id", "entity"], ["sentence", "start"])
+
+
+@query(f"WITH {WHOLE} SELECT doc_id, axis, zone, cardinal, arg_min(raw, start) AS raw, CAST(min(start) AS BIGINT) AS start FROM z GROUP BY ALL")
+def zone_first_mention(spark, d):
+    z = monthly(spark, d).select("doc_id", F.explode(Z.zones_of(F.col("text"))).alias("z")).select("doc_id", "z.*")
+    return Z.first_mention(z, ["doc_id"], ["start"])
+
+
+@query(f"WITH {WHOLE} SELECT CASE WHEN cardinal IS NOT NULL AND axis IN ('region', 'region_part', 'subregion') THEN zone || ' (' || CASE cardinal WHEN 'N' THEN 'nord' WHEN 'S' THEN 'sud' WHEN 'E' THEN 'est' ELSE 'vest' END || ')' ELSE zone END AS label, count(*) AS n FROM z GROUP BY 1")
+def zone_labels(spark, d):
+    """How often each zone is named, under its label."""
+    z = monthly(spark, d).select(F.explode(Z.zones_of(F.col("text"))).alias("z")).select("z.*")
+    return z.groupBy(Z.label(F.col("axis"), F.col("zone"), F.col("cardinal")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH {dim}, {daily}, {zt}, {p}, v AS (SELECT entity, avg((tmax + tmin) / 2) AS t FROM daily WHERE tmax IS NOT NULL AND tmin IS NOT NULL GROUP BY 1),
+w AS ({whole}), tr AS (SELECT DISTINCT doc_id, entity FROM w JOIN zt ON w.axis = zt.axis AND w.zone = zt.zone AND w.cardinal IS NOT DISTINCT FROM zt.cardinal),
+pr AS (SELECT doc_id, entity, low, high FROM (SELECT doc_id, entity, low, high, row_number() OVER (PARTITION BY doc_id, entity ORDER BY sentence DESC, start DESC) AS rn FROM pred JOIN zt ON pred.axis = zt.axis AND pred.zone = zt.zone AND pred.cardinal IS NOT DISTINCT FROM zt.cardinal WHERE low >= 0) WHERE rn = 1),
+j AS (SELECT coalesce(tr.doc_id, pr.doc_id) AS doc_id, coalesce(tr.entity, pr.entity) AS entity, tr.entity IS NOT NULL AS a, pr.entity IS NOT NULL AS b, low, high FROM tr FULL JOIN pr ON tr.doc_id = pr.doc_id AND tr.entity = pr.entity),
+s AS (SELECT doc_id, a, b, t, CASE WHEN t IS NULL THEN NULL WHEN a AND b THEN greatest(0, low - t, t - high) WHEN a THEN 2.0 ELSE greatest(2.0, low - t, t - high) END AS dd FROM j LEFT JOIN v ON j.entity = v.entity)
+SELECT doc_id, round(coalesce(avg(dd), 2.0), 4)::DOUBLE AS d_bar, count(*) FILTER (WHERE t IS NOT NULL AND a AND b) AS n_intersection, count(*) FILTER (WHERE t IS NOT NULL AND a AND NOT b) AS n_missed, count(*) FILTER (WHERE t IS NOT NULL AND NOT a) AS n_false_positive, count(*) FILTER (WHERE t IS NULL) AS n_unscorable, round(1 / (1 + coalesce(avg(dd), 2.0) / 2), 4)::DOUBLE AS accuracy FROM s GROUP BY 1""")
+def interval_distance_score(spark, d):
+    """Scores the predictions of every paragraph at the stations they resolve to.
+
+    Expected are the stations of all zones that the paragraph names; predicted are those with an interval not below zero, the
+    last mention of a station counting; true values are the mean temperatures of the stations.
+    """
+    from brumar.plans.sensors import daily
+
+    tab = _zone_table(spark, d)
+    named = monthly(spark, d).select("doc_id", F.explode(Z.zones_of(F.col("text"))).alias("z")).select("doc_id", "z.axis", "z.zone", "z.cardinal")
+    pred = Z.last_mention(Z.at_stations(Z.predictions(monthly(spark, d), "doc_id", "text").where("low >= 0"), tab), ["doc_id", "entity"], ["sentence", "start"])
+    value = daily(spark, d).where("tmax is not null and tmin is not null").groupBy("entity").agg(F.avg((F.col("tmax") + F.col("tmin")) / 2).alias("t"))
+    s = Z.interval_score(Z.at_stations(named, tab), pred, value, ["doc_id"])
+    return s.select("doc_id", F.round("d_bar", 4).alias("d_bar"), *[c for c in s.columns if c.startswith("n_")], F.round("accuracy", 4).alias("accuracy"))
+
+
+def _fill_in() -> None:
+    from brumar.plans.registry import SQL
+    from brumar.plans.sensors import DAILY, DIM
+
+    whole = f"WITH {WHOLE} SELECT doc_id, axis, zone, cardinal FROM z"
+    for k in ("zone_stations", "zone_counties", "zone_last_mention", "interval_distance_score"):
+        SQL[k] = SQL[k].replace("{daily}", DAILY).replace("{dim}", DIM).replace("{zt}", ZONE_TABLE).replace("{p}", PREDICTED).replace("{whole}", whole)
+
+
+_fill_in()
+
+_QUALIFIED_SQL = r"(?:\b(sub|peste|de\s+la|p[aâÂ]n[aăĂ](?:\s+la)?|[iîÎ]ntre)\s+)?\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\](?:\s*(?:°\s*C|deg\s*C|C))?"
+FLUENT = f"""{MONTHLY}, h AS (SELECT doc_id, text, regexp_extract_all(text, '(?i){_QUALIFIED_SQL}') AS hs, string_split_regex(text, '(?i){_QUALIFIED_SQL}') AS gs FROM m),
+c AS (SELECT doc_id, text, gs, list_transform(hs, lambda x: struct_pack(q := lower(translate(regexp_replace(regexp_extract(x, '(?i){_QUALIFIED_SQL}', 1), '\\s+', ' ', 'g'), '{X.ACCENTED}', '{X.PLAIN}')), x := CAST(2 * floor((CAST(regexp_extract(x, '(?i){_QUALIFIED_SQL}', 2) AS DOUBLE) + CAST(regexp_extract(x, '(?i){_QUALIFIED_SQL}', 3) AS DOUBLE)) / 4) AS BIGINT))) AS cs FROM h),
+e AS (SELECT *, list_min(list_transform(cs, lambda y: y.x)) AS lo, list_max(list_transform(cs, lambda y: y.x)) AS hi FROM c),
+o AS (SELECT doc_id, text, gs, list_transform(cs, lambda y: CASE WHEN y.q IN ('sub', 'de la') AND y.x = lo THEN y.q || ' ' || y.x || ' °C' WHEN y.q = 'peste' AND y.x = hi THEN 'peste ' || (y.x + 2) || ' °C' WHEN y.q IN ('pana', 'pana la') AND y.x = hi THEN 'pana la ' || (y.x + 2) || ' °C' ELSE 'intre ' || y.x || ' si ' || (y.x + 2) || ' °C' END) AS ws FROM e),
+f AS (SELECT doc_id, text, array_to_string(list_transform(gs, lambda g, i: g || coalesce(ws[i], '')), '') AS fluent FROM o)"""
+
+
+@query(f"WITH {FLUENT} SELECT doc_id, fluent FROM f")
 def bracket_rewrite(spark, d):
-    return monthly(spark, d).select("doc_id", Z.rewritten("text").alias("fluent"))
+    return monthly(spark, d).select("doc_id", Z.rewritten(F.col("text")).alias("fluent"))
 
 
-@query()
+@query(f"WITH {FLUENT} SELECT count(*) AS n_paragraphs, count(*) FILTER (WHERE fluent <> text) AS n_changed FROM f")
 def rewrite_refresh(spark, d):
     """How many paragraphs a new run of the rewriter would change."""
-    m = monthly(spark, d).withColumn("fluent", Z.rewritten("text"))
+    m = monthly(spark, d).withColumn("fluent", Z.rewritten(F.col("text")))
     return m.agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(F.col("fluent") != F.col("text")).alias("n_changed"))
 
 

@@ -97,18 +97,57 @@ def test_worded_intervals(spark):
     assert sorted((r["low"], r["high"]) for r in got) == [(-2, 0), (1, 2), (4, 6), (6, 8)]
 
 
-def test_bracket_rewrite():
-    f = zones.rewrite_brackets
+def test_intervals_know_their_place(spark):
+    t = "în zona montană [2, 4] °C, între 10 și 12 grade Celsius, sub 3 minute"
+    got = one(spark, X.intervals(F.col("t")), t=t)
+    assert [(r["low"], r["high"]) for r in got] == [(2, 4), (10, 12)]
+    at = t.index("[2, 4] °C")
+    assert got[0]["middle"] == at + len("[2, 4] °C") / 2
+    assert one(spark, X.intervals(F.col("t")), t=None) == [] == one(spark, X.intervals(F.col("t")), t="")
+
+
+def test_bracket_rewrite(spark):
+    f = lambda t: one(spark, zones.rewritten(F.col("t")), t=t)
     assert f("valori sub [0, 2] °C și peste [4, 6] °C") == "valori sub 0 °C și peste 6 °C"
     assert f("sub [2, 4] °C, [0, 2] °C") == "intre 2 si 4 °C, intre 0 si 2 °C"
-    assert f("până la [4, 6] °C") == "pana la 6 °C"
+    assert f("până la [4, 6] °C") == "pana la 6 °C" and f("de la [1, 3]C, între [10, 12]") == "de la 2 °C, intre 10 si 12 °C"
+    assert f("[−1, 2]") == "[−1, 2]" and f("[-4.1, -2.1]") == "intre -4 si -2 °C"
     assert f("nimic") == "nimic" and f(None) is None and f("") == ""
 
 
-def test_zone_extraction():
-    got = zones.find_zones("În sudul Moldovei și pe litoral [2, 4] °C, în centrul Munteniei")
-    assert [(z["zone"], z["cardinal"]) for z in got] == [("Moldova", "S"), ("Litoral", None), ("Muntenia", None)]
-    assert zones.find_zones(None) == []
+def test_zone_extraction(spark):
+    find = lambda t: [(z["zone"], z["cardinal"]) for z in one(spark, zones.zones_of(F.col("t")), t=t)]
+    assert find("În sudul Moldovei și pe litoral [2, 4] °C, în centrul Munteniei") == [("Moldova", "S"), ("Litoral", None), ("Muntenia", None)]
+    assert find(None) == find("") == []
+    # of compound directions the first part counts, however they are written
+    for t in ("nord-estul Munteniei", "Nord-Estul Munteniei", "nordestul Munteniei", "nord-est de Muntenia"):
+        assert find(t) == [("Muntenia", "N")]
+    assert find("sud-vestul Olteniei, vestul Banatului") == [("Oltenia", "S"), ("Banat", "S")]  # the longer form within reach wins
+    assert find("jumătatea estică a Transilvaniei") == [("Transilvania", "E")]
+    assert find("în sudul țării, iar în cea mai mare parte a Dobrogei") == [("Dobrogea", None)]
+    assert find("zona montană înaltă, zonele extracarpatice, creste montane, interiorul arcului carpatic, deltaplan") == [("Zona montană înaltă", None), ("Câmpie (zone joase extracarpatice)", None), ("Creste montane (peste 2500 m)", None), ("Depresiuni intramontane", None)]
+    (z,) = one(spark, zones.zones_of(F.col("t")), t="Pe LITORAL")
+    assert z["raw"] == "LITORAL" and z["start"] == 3
+    assert len(zones.directions()) == 36 and len(zones.vocabulary()) == 38
+    with pytest.raises(ValueError):
+        zones.claim_order(["zona de sud", "litoralul zona"][::1] + ["a zona"])
+
+
+def test_zones_at_stations(spark):
+    st = spark.createDataFrame([("A", "Muntenia", "IF", "S"), ("B", "Muntenia", "B", None), ("C", "TransilvaniaN", "MM", "N"), ("D", "Banat-Crisana", "TM", "V"), ("E", None, None, None)], "entity string, region string, county string, cardinal string")
+    cl = spark.createDataFrame([("Litoral", "A"), ("Litoral", "Z")], "zone string, entity string")
+    tab = zones.zone_table(st, cl)
+    z = spark.createDataFrame([(1, "region", "Muntenia", None), (2, "region", "Muntenia", "S"), (3, "region_compound", "Transilvania", None), (4, "region_part", "Banat", "V"), (5, "subregion", "Maramures", "N"), (6, "climatic", "Litoral", None), (7, "region", "Muntenia", "N"), (8, "region", "Narnia", None)], "id int, axis string, zone string, cardinal string")
+    got = {}
+    for r in zones.at_stations(z, tab).collect():
+        got.setdefault(r["id"], set()).add(r["entity"])
+    assert got == {1: {"A", "B"}, 2: {"A"}, 3: {"C"}, 4: {"D"}, 5: {"C"}, 6: {"A", "Z"}}
+    c = {(r["zone"], r["cardinal"]): r["counties"] for r in zones.counties(z, tab).collect()}
+    assert c["Muntenia", None] == "IF,B" and c["Litoral", None] == "IF"
+    text = {r["id"]: r["l"] for r in z.select("id", zones.label(F.col("axis"), F.col("zone"), F.col("cardinal")).alias("l")).collect()}
+    assert text[2] == "Muntenia (sud)" and text[4] == "Banat (vest)" and text[1] == "Muntenia" and text[6] == "Litoral"
+    f = zones.first_mention(z.withColumn("at", F.col("id")), [], ["at"]).collect()
+    assert len(f) == 8
 
 
 def test_nearest_interval(spark):
