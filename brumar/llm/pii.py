@@ -59,7 +59,7 @@ _DATE = re.compile(r"(?<!\d)(?:\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[./-]\d{1,2}[.
 _CODE = re.compile(r"(?<![\w.+-])[1-9] ?\d{6} ?\d{6}(?!\d)")
 _CARD = re.compile(r"(?<![\w-])[A-Z]{2}(?: ?[Nn][Rr]\.?)? ?\d{6}(?!\d)")
 _WORDS = rf"(?:\p{{Lu}}\.|[{_L}][{_L}'’\-]*)"
-_STREET = re.compile(rf"(?<![\w-])(?:(?:nr\.? ?)?\d{{1,4}} ?[A-Z]?,? )?{STREET}\b\.?\s{{1,2}}(?:{_WORDS}\s{{1,2}}){{0,5}}?{_WORDS}(?:,?\s{{1,2}}(?:nr|num[ăa]rul|no)\.?\s?|,?\s{{1,2}}|,)\d{{1,4}} ?(?:[A-Z]\b)?(?:,\s{{1,2}}(?:bl|sc|et|ap|corp|sector\w*)\.?\s?[\w]+)*", re.I)
+_STREET = re.compile(rf"(?<![\w-])(?:(?:nr\.? ?)?\d{{1,4}} ?[A-Z]?,? )?{STREET}\b\.?\s{{1,2}}(?:{_WORDS}\s{{1,2}}){{0,5}}?{_WORDS}(?:,?\s{{1,2}}(?:nr|num[ăa]rul|no)\.?\s?|,?\s{{1,2}}|,)\d{{1,4}}(?: ?[A-Z]\b)?(?:,\s{{1,2}}(?:bl|sc|et|ap|corp|sector\w*)\.?\s?[\w]+)*", re.I)
 _STREET_ONLY = re.compile(rf"(?<![\w-])\d{{1,4}}[A-Z]?,? {STREET}\b\.?\s{{1,2}}(?:\p{{Lu}}[{_L}'’\-]*\s?(?:de\s)?){{1,4}}", re.I)
 _STREET_EN = re.compile(rf"(?<![\w.,-])\d{{1,4}}[A-Z]?,? (?:\p{{Lu}}[{_L}'’\-]*\s){{1,4}}?(?i:{STREET_EN})\b")
 _CAP = rf"(?:\p{{Lu}}[{_L}]+(?:[-’']\p{{Lu}}[{_L}]+)*|\p{{Lu}}\.)"
@@ -299,8 +299,8 @@ def _expected(cands, weights: dict[str, float]) -> tuple[list[float], dict[tuple
     return one, {(j, k): math.exp(min(0.0, alpha[j] + x + score[k] + beta[k] - z)) for (j, k), x in t.items()}
 
 
-def sentences(n: int, given: list[str], seed: int = 7) -> Iterator[tuple[str, list[tuple[int, str]]]]:
-    """Sentences made by rule, with the places and kinds of their entities."""
+def sentences(n: int, given: list[str], seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """Sentences made by rule, with the places, ends and kinds of their entities."""
     r = random.Random(seed)
     given = given or ["Ana", "Ion"]
     word = lambda k=3: "".join(r.choice(_PARTS) for _ in range(r.randint(2, k))).capitalize()
@@ -374,8 +374,8 @@ def sentences(n: int, given: list[str], seed: int = 7) -> Iterator[tuple[str, li
             for part in re.split(r"(\{\w+\})", r.choice(shapes)):
                 kind = part[1:-1]
                 if kind in make:
-                    gold.append((len(text), kind))
                     part = make[kind]()
+                    gold.append((len(text), len(text) + len(part), kind))
                 text += part
             text += r.choice([" ", "\n"])
         yield text, gold
@@ -389,12 +389,12 @@ def fit(given: list[str], n: int = TRAINING, rounds: int = 60, rate: float = 0.5
         cands = sorted(candidates(text, names), key=lambda c: (c[1], c[0]))
         if not cands:
             continue
-        want = set(gold)
-        # of several spans that begin where the entity does, the longest is the right one, unless it draws something else in
+        want = {(start, kind): end for start, end, kind in gold}
+        # the span with the entity's own end is the right one; where none has it, the longest that draws nothing else in
         right: dict[tuple[int, str], int] = {}
         for k, c in enumerate(cands):
             key = (c[0], c[2])
-            if key in want and not any(c[0] < at < c[1] for at, _ in gold) and (key not in right or (c[1] > cands[right[key]][1]) == (c[2] != "name")):
+            if key in want and not any(c[0] < at < c[1] for at, _, _ in gold) and (key not in right or cands[right[key]][1] != want[key]):
                 right[key] = k
         chosen = sorted(right.values())
         rows = {(j, k) for j, k in zip(chosen, chosen[1:]) if 0 <= cands[k][0] - cands[j][1] <= NEAR}

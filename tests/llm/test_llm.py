@@ -379,7 +379,7 @@ def test_entities_of_held_out_sentences(field):
     weights, given = field
     right = wrong = total = 0
     for text, gold in pii.sentences(300, NAMES, seed=123):
-        got, want = {(a, k) for a, _, k in pii.entities(text, given, weights)}, set(gold)
+        got, want = {(a, k) for a, _, k in pii.entities(text, given, weights)}, {(a, k) for a, _, k in gold}
         right, wrong, total = right + len(got & want), wrong + len(got - want), total + len(want)
     assert right / total > 0.96 and wrong / total < 0.02  # a third of the names have no word and no ending that tells
 
