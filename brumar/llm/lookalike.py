@@ -83,8 +83,25 @@ def tables() -> dict[str, np.ndarray]:
             start[cp] = len(flat)
             flat.extend(map(ord, to))
     keys = np.array([(a << 21) | b for a, b in pairs], np.int64)
+    joiners = np.array(sorted({b for _, b in pairs if not unicodedata.combining(chr(b))} | set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))), np.uint32)
     order = np.argsort(keys)
-    return {"lone": lone, "count": count, "start": start, "flat": np.array(flat, np.uint32), "ccc": classes, "keys": keys[order], "composed": np.array(list(pairs.values()), np.uint32)[order]}
+    return {"lone": lone, "count": count, "start": start, "flat": np.array(flat, np.uint32), "ccc": classes, "keys": keys[order], "composed": np.array(list(pairs.values()), np.uint32)[order], "joiners": joiners}
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The composed code point of each pair, 0 where there is none."""
+    t = tables()
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    key = (a << 21) | b
+    where = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
+    got = np.where(t["keys"][where] == key, t["composed"][where], 0).astype(np.uint32)
+    # Korean syllables are counted through: 19 first, 21 middle and 27 last sounds
+    lead, vowel, tail = a - 0x1100, b - 0x1161, b - 0x11A7
+    open_ = (lead >= 0) & (lead < 19) & (vowel >= 0) & (vowel < 21)
+    got[open_] = 0xAC00 + (lead[open_] * 21 + vowel[open_]) * 28
+    closed = (a >= 0xAC00) & (a < 0xD7A4) & ((a - 0xAC00) % 28 == 0) & (tail > 0) & (tail < 28)
+    got[closed] = a[closed] + tail[closed]
+    return got
 
 
 def consistent(array: pa.Array) -> pa.Array:
@@ -118,7 +135,7 @@ def consistent(array: pa.Array) -> pa.Array:
             break
         bad = bad[np.concatenate([[True], np.diff(bad) > 1])]
         out[bad], out[bad + 1] = out[bad + 1].copy(), out[bad].copy()
-    # a mark joins its base unless a mark of the same class stands between
+    # a mark joins its base unless one that stayed before it has the same class or a higher one
     keep = np.ones(len(out), bool)
     c = t["ccc"][out]
     marks = np.flatnonzero(c > 0)
@@ -126,21 +143,35 @@ def consistent(array: pa.Array) -> pa.Array:
         place = np.arange(len(out))
         base = np.maximum.accumulate(np.where((c == 0) | breaks[:-1], place, 0))
         depth = marks - base[marks]
-        first_of_class = np.ones(len(marks), bool)
-        first_of_class[1:] = ~((base[marks[1:]] == base[marks[:-1]]) & (c[marks[1:]] == c[marks[:-1]]))
-        for d in range(1, int(depth.max(initial=0)) + 1):
-            m = marks[(depth == d) & first_of_class]
+        stayed = np.zeros(len(out), np.uint8)
+        order = np.argsort(depth, kind="stable")
+        for m in np.split(marks[order], np.flatnonzero(np.diff(depth[order])) + 1):
+            m = m[base[m] < m]  # a mark without a base stays
             b = base[m]
             letter = out[b]
             soft = np.isin(letter, [ord(x) for x in "sStT"]) & (out[m] == CEDILLA)
             out[m[soft]] = COMMA
-            key = (letter.astype(np.int64) << 21) | out[m]
-            where = np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)
-            hit = t["keys"][where] == key
-            out[b[hit]] = t["composed"][where[hit]]
+            joined = _joined(letter, out[m])
+            hit = (joined > 0) & (stayed[b] < c[m])
+            out[b[hit]] = joined[hit]
             keep[m[hit]] = False
+            stayed[b[~hit]] = c[m[~hit]]
     row = np.concatenate([[0], np.cumsum(keep)])[row]
     out = out[keep]
+    # signs without a class that join what stands right before them: vowel signs of some scripts, parts of Korean syllables
+    while len(out) > 1 and np.isin(out, t["joiners"]).any():
+        breaks = np.zeros(len(out) + 1, bool)
+        breaks[row] = True
+        joined = np.where(breaks[1:-1], 0, _joined(out[:-1], out[1:]))
+        hit = np.flatnonzero(joined)
+        if not len(hit):
+            break
+        hit = hit[np.concatenate([[True], np.diff(hit) > 1])]
+        out[hit] = joined[hit]
+        keep = np.ones(len(out), bool)
+        keep[hit + 1] = False
+        row = np.concatenate([[0], np.cumsum(keep)])[row]
+        out = out[keep]
     wide8 = 1 + (out > 0x7F).astype(np.int64) + (out > 0x7FF) + (out > 0xFFFF)
     to = np.concatenate([[0], np.cumsum(wide8)])[row].astype(np.int32)
     text = out.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
@@ -162,6 +193,17 @@ def with_consistent(df: DataFrame, text: str, to: str = "consistent") -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def alike_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row id, class, n_rows, n_spellings): the class of each row, named by its form, and how many rows and spellings it has.
+
+    Rows without text have no class.  Copies are counted, not paired.
+    """
+    rows = with_consistent(df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("x")), "x").where(F.col("consistent").rlike(r"\S"))
+    m = rows.select("id", F.md5(F.col("consistent").cast("binary")).alias("class"), F.md5(F.col("x").cast("binary")).alias("r"))
+    kinds = m.groupBy("class", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("class").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_spellings"))
+    return m.join(kinds, "class").select(F.col("id").alias(row_id), "class", "n_rows", "n_spellings")
+
+
 def alike_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(a, b), a < b: every pair of rows whose texts look the same and are not the same sequence of characters.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brumar.common import table
 from brumar.llm.defects import judged
-from brumar.llm.lookalike import alike_pairs, with_consistent
+from brumar.llm.lookalike import alike_classes, alike_pairs, with_consistent
 from brumar.llm.mixing import mixed
 from brumar.llm.overlap import cross_split, linked_classes, prompts_of
 from brumar.llm.pii import found
@@ -56,6 +56,11 @@ def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
     return with_consistent(table(spark, d, "formatted_diagnoses").select("diag_id", "original_diagnosis"), "original_diagnosis").select("diag_id", "consistent")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every report with the class of texts that look like its own, and how many rows and spellings the class has."""
+    return alike_classes(table(spark, d, "formatted_diagnoses"), "diag_id", "original_diagnosis")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"), "doc_id", "text")
 
@@ -86,7 +91,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_by_split, p3_classes, p5_found, p5_consistent, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p2_found, p2_defects, p3_found, p3_by_split, p3_classes, p5_found, p5_consistent, p5_classes, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,6 +37,25 @@ def test_alike_texts_get_one_form():
     assert lookalike.consistent(pa.array(["z", "ﬁ", None, "ș"])[1:]).to_pylist() == ["fi", None, "ș"]
 
 
+def test_the_form_is_the_canonical_one():
+    """Over all code points: where only accents are at stake, the form is NFC, from whatever spelling."""
+    import unicodedata as u
+
+    folded = set(map(chr, lookalike.NO_WIDTH)) | set(lookalike.CYRILLIC) | set(lookalike.GREEK) | set(lookalike.OTHER)
+    soft = "\u015e\u015f\u0162\u0163"
+    chars = [c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and u.category(c) not in ("Cf", "Zs", "Zl", "Zp", "Cn", "Co") and u.normalize("NFKC", c) == u.normalize("NFC", c) and not folded & set(u.normalize("NFD", c)) and c not in soft]
+    assert len(chars) > 100_000
+    for spelling in ("NFC", "NFD"):
+        got = form(*[u.normalize(spelling, c) for c in chars])
+        assert [c for c, g in zip(chars, got) if g != u.normalize("NFC", c)] == []
+    # several marks in a row, and marks that block one another
+    r = random.Random(0)
+    marks = [chr(c) for c in (0x300, 0x301, 0x302, 0x304, 0x307, 0x308, 0x30C, 0x323, 0x328, 0x331, 0x345, 0x5B0, 0x93C)]
+    texts = ["".join(r.choice("aeouAEIYǖạlαωक") + "".join(r.choices(marks, k=r.randint(0, 4))) for _ in range(4)) for _ in range(3000)]
+    texts = [t for t in texts if not folded & set(u.normalize("NFD", t))]
+    assert form(*texts) == [u.normalize("NFC", t) for t in texts]
+
+
 def test_alike_pairs_against_brute_force(spark):
     base = ["Vânt slab, 3 °C", "Vant slab, 3 °C", "Cer senin", "", None, "   ", " "]
     twist = [lambda s: s, lambda s: s.replace(" ", " "), lambda s: s.replace("°", "º"), lambda s: s.replace("a", "а")]
@@ -47,6 +66,10 @@ def test_alike_pairs_against_brute_force(spark):
     c = dict(zip([i for i, _ in rows], form(*[t for _, t in rows])))
     want = sorted((a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if x and y and c[a].strip() and x != y and c[a] == c[b])
     assert got == want and got
+    classes = lookalike.alike_classes(spark.createDataFrame(rows, "id bigint, x string"), "id", "x").collect()
+    assert {x["id"] for x in classes} == {i for i, t in rows if t and c[i].strip()}
+    links = sum(x["n_rows"] - sum(y["class"] == x["class"] and dict(rows)[y["id"]] == dict(rows)[x["id"]] for y in classes) for x in classes)
+    assert links == 2 * len(got)
     assert lookalike.alike_pairs(spark.createDataFrame([], "id bigint, x string"), "id", "x").count() == 0
     with pytest.raises(ValueError):
         lookalike.with_consistent(spark.createDataFrame([(1, "a")], "id int, consistent string"), "consistent", "consistent")
