@@ -48,3 +48,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Enough partitions for Python stages: a table of few files is hashed by its unique keys; one of many is left as it is."""
     want = 4 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *[F.col(k) for k in keys])
+
+
+#: rows of a table of one row a source or hour up to which it is sent to every executor
+SMALL = 200_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = SMALL) -> DataFrame:
+    """A join with a table that is nearly always small: sent to every executor if counting shows that it is, else shuffled.
+
+    ``small`` is kept, as it is worked out for the count.  Sent out, it spares the shuffle of ``big``, in which a key that
+    holds a third of all rows would go to one task.
+    """
+    small = small.persist()
+    n = small.limit(most + 1).count()
+    return big.join(F.broadcast(small) if n <= most else small, on, how)

@@ -5,7 +5,8 @@ a table over each categorical field, is fitted by expectation-maximisation.  The
 are taken relative to the source (its mean and spread), and the state of the network at the same
 hour is a field too, so that a class describes "a reading like this one, at a time like this one".
 Every step is one pass over all rows that adds up sufficient statistics (a few hundred numbers,
-whatever the size of the table); nothing else reaches the driver.  Missing numeric cells get their
+whatever the size of the table); nothing else reaches the driver.  Rounds end when the likelihood gains
+less than ``gain`` of itself.  Missing numeric cells get their
 conditional expectation, missing categorical cells the most probable value.
 
 Defined results: a cell is missing if null, NaN, blank or a no-value code, the sky code 9 too;
@@ -24,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brumar.common import HOUR_US, from_micros, micros, usable, usable_text
+from brumar.common import HOUR_US, from_micros, join_small, micros, usable, usable_text
 
 OKTAS = 9  # 0..8 eighths; 9 stands for a sky that can't be seen
 NUMERIC = ("z", "c", "g")  # wind relative to the source, of the network at that hour, loading delay
@@ -107,7 +108,7 @@ def _codes(pdf: pd.DataFrame):
     return pdf[list(NUMERIC)].to_numpy(float), pdf["sky"].to_numpy(int), pdf["lab"].to_numpy(int), pdf["net"].to_numpy(int)
 
 
-def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, label: str, loaded: str, row_id: str, components: int = 8, rounds: int = 6, low: float = 0.0, high: float = 75.0) -> DataFrame:
+def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, label: str, loaded: str, row_id: str, components: int = 8, rounds: int = 30, gain: float = 5e-3, low: float = 0.0, high: float = 75.0) -> DataFrame:
     """The named columns with their missing cells filled, ``lipsa`` (names of the missing cells) and ``umplut`` (of those filled)."""
     spark = df.sparkSession
     c = lambda name: F.col(f"`{name}`")
@@ -119,10 +120,14 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
     delay = F.when(gap.isNotNull(), F.log1p(F.greatest(F.lit(0.0), gap)))
     base = base.withColumn("w", fit_v).withColumn("d", delay).withColumn("hr", F.floor(F.coalesce("t", "l") / HOUR_US))
     # what is normal at each source and, for rows without one, over all
-    sums = base.groupBy("e").agg(F.avg("w").alias("wm"), F.stddev_pop("w").alias("ws"), F.avg("d").alias("dm"), F.stddev_pop("d").alias("ds"))
-    o = base.agg(F.avg("w"), F.stddev_pop("w"), F.avg("d"), F.stddev_pop("d")).first()
-    overall = [float(a) if a is not None else b for a, b in zip(o, (0.0, 1.0, 0.0, 1.0))]
-    with_stats = base.join(sums, "e", "left")
+    sums = base.groupBy("e").agg(*[f(c).alias(n + c) for c in ("w", "d") for f, n in ((F.count, "n"), (F.avg, "m"), (F.var_pop, "v"))]).persist()
+    total = lambda c: [F.sum("n" + c), F.sum(F.col("n" + c) * F.col("m" + c)), F.sum(F.col("n" + c) * (F.col("v" + c) + F.col("m" + c) ** 2))]
+    o = sums.agg(*total("w"), *total("d")).first()
+    overall = []
+    for n, x, xx in (o[:3], o[3:]):
+        mean = x / n if n else 0.0
+        overall += [mean, max(xx / n - mean * mean, 0.0) ** 0.5 if n else 1.0]
+    with_stats = join_small(base, sums.select("e", F.col("mw").alias("wm"), F.sqrt("vw").alias("ws"), F.col("md").alias("dm"), F.sqrt("vd").alias("ds")), ["e"], "left")
     for name, alt in zip(("wm", "ws", "dm", "ds"), overall):
         with_stats = with_stats.withColumn(name, F.coalesce(name, F.lit(alt)))
     clip = lambda q: F.when(q.isNotNull(), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), q)))  # greatest and least pass over nulls
@@ -136,12 +141,13 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
     names = [r["f"] for r in top] or [""]
     number = F.map_from_arrays(F.array(*[F.lit(q) for q in names]), F.array(*[F.lit(i) for i in range(len(names))]))
     feats = (
-        with_stats.join(hours, "hr", "left")
+        join_small(with_stats, hours, ["hr"], "left")
         .select("id", "e", "t", "l", "v", "n", "f", "wm", "ws", "dm", "ds", "z", "c", "g", F.coalesce("sky", F.lit(-1)).alias("sky"), F.coalesce("net", F.lit(-1)).alias("net"), F.coalesce(F.try_element_at(number, F.col("f")), F.lit(-1)).alias("lab"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     labels = len(names)
     model = _start(components, labels, np.array([r["count"] for r in top] or [1.0], float))
+    before = None
     for _ in range(rounds):
 
         def add_up(batches: Iterator[pd.DataFrame], p=model) -> Iterator[pd.DataFrame]:
@@ -156,7 +162,12 @@ def fill_readings(df: DataFrame, entity: str, time: str, value: str, sky: str, l
         got = feats.select(*NUMERIC, "sky", "lab", "net").mapInPandas(add_up, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).orderBy("at").collect()
         if not got:
             break
-        model = _maximise(np.array([r["s"] for r in got]), components, labels)
+        stats = np.array([r["s"] for r in got])
+        model = _maximise(stats, components, labels)
+        # the last number is the log-likelihood under the model before; the fit ends when it hardly gains
+        if before is not None and stats[-1] - before < gain * abs(before):
+            break
+        before = stats[-1]
 
     def fill(batches: Iterator[pd.DataFrame], p=model) -> Iterator[pd.DataFrame]:
         words = np.array(names, object)

@@ -1,11 +1,14 @@
 """Faulty readings, filling and the hourly grid against brute force, and their edge cases."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from brumar.common import join_small
 from brumar.operators.impute import fill_readings
 from brumar.operators.regrid import hourly_grid
 from brumar.operators.spikes import HOUR_US, faulty_readings, robust_pca, spike_mask, usual_spread
@@ -204,3 +207,31 @@ def test_filling_edge_cases(spark):
     assert set(got[0]["umplut"]) == {"Rff1", "Nop", "Fenomen"} and got[0]["Data masurarii"] is None
     assert got[1]["lipsa"] == [] and got[1]["Nop"] == "6"
     assert got[3]["lipsa"] == ["Data masurarii"] and got[3]["Rff1"] == 6310.0 and got[3]["Data masurarii"] is not None
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
+def test_filled_values_of_the_table_against_hidden_ones(spark):
+    """One known cell in twenty is hidden; what is filled in must be nearer than the station's mean, and right more often than the most frequent value."""
+    t = spark.read.parquet(f"{TABLES}/sirdate_1748514797752_bucuresti.parquet")
+    hide = lambda c, k: F.when(F.pmod(F.xxhash64("id_rand", F.lit(k)), F.lit(20)) != 0, F.col(c))
+    hidden = t.withColumns({"Rff1": hide("Rff1", 1), "Nop": hide("Nop", 2), "Fenomen": hide("Fenomen", 3)})
+    got = fill(hidden).select("id_rand", "Denumire", "lipsa", "Rff1", "Nop", "Fenomen").toPandas().set_index("id_rand")
+    was = t.select("id_rand", "Rff1", F.trim("Nop").alias("Nop"), F.trim("Fenomen").alias("Fenomen")).toPandas().set_index("id_rand").loc[got.index]
+    assert len(got) == t.count()
+    lost = lambda c: got.lipsa.map(lambda x: c in x)
+    w = lost("Rff1") & was.Rff1.between(0, 75)
+    mean = was.Rff1[~lost("Rff1") & was.Rff1.between(0, 75)].groupby(got.Denumire).mean()
+    assert w.sum() > 500 and (got.Rff1[w] - was.Rff1[w]).abs().mean() < 0.8 * (got.Denumire[w].map(mean) - was.Rff1[w]).abs().mean()
+    n = lost("Nop") & was.Nop.isin(list("012345678"))
+    assert (got.Nop[n] == was.Nop[n]).mean() > 2 * (was.Nop[n] == was.Nop[~lost("Nop")].mode()[0]).mean()
+    f = lost("Fenomen") & was.Fenomen.isin(set(got.Fenomen[~lost("Fenomen")]))
+    assert (got.Fenomen[f] == was.Fenomen[f]).mean() >= 0.99 * (was.Fenomen[f] == was.Fenomen[~lost("Fenomen")].mode()[0]).mean()
+
+
+def test_a_large_side_is_not_sent_out(spark):
+    big, small = spark.range(100).withColumn("k", F.col("id") % 10), spark.range(8).withColumnRenamed("id", "k")
+    for most in (3, 100):
+        assert join_small(big, small, ["k"], "left", most).count() == 100 and join_small(big, small, ["k"], most=most).count() == 80
