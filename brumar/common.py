@@ -10,6 +10,9 @@ NO_VALUE_CODES = ["", "-", "--", "/", "//", "///", "n/a", "na", "nan", "null", "
 # Codes that stand for "no value" in the numeric columns.
 NO_VALUE_NUMBERS = [-999.0, -9999.0, -99999.0, -999.9, -9999.9]
 
+# White space and separators.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 HOUR_US = 3_600_000_000
 
 
@@ -25,7 +28,7 @@ def usable(value: Column) -> Column:
 
 def usable_text(value: Column) -> Column:
     """The trimmed text, or null where it is null, blank or a no-value code."""
-    t = F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    t = F.btrim(value, F.lit(SPACES))
     return F.when(F.lower(t).isin(NO_VALUE_CODES), None).otherwise(t)
 
 
@@ -33,7 +36,13 @@ EPOCH = "timestamp_ntz'1970-01-01'"
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 on the clock that the timestamp shows; one without a zone never meets the session's zone."""
+    """Microseconds since 1970 on the clock that the timestamp shows; one without a zone never meets the session's zone.
+
+    In a session in UTC, where every such clock time exists once, the plain count is the same and cheaper.
+    """
+    session = SparkSession.getActiveSession()
+    if session and session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return F.unix_micros(ts.cast("timestamp"))
     return ((ts.cast("timestamp_ntz") - F.expr(EPOCH)).cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
