@@ -67,7 +67,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """How many documents decode to the text they were encoded from."""
-    return round_trip(table(spark, d, "documents"), "doc_id", "text").groupBy("same").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+    return round_trip(table(spark, d, "documents"), "doc_id", "text").groupBy("same").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -96,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Encoding and decoding must give every text again, so the documents can be counted in SQL; the rest is beyond SQL and tested against brute force."""
-    return {}
+    return {"p7_round_trip": "SELECT TRUE AS same, count(*) AS n_documents FROM documents"}

@@ -17,12 +17,14 @@ tokens inside a text are ordinary text; no special tokens are added.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,10 @@ def byte_letters() -> dict[str, int]:
 class Transducer:
     def __init__(self, path: str = VOCABULARY, most_states: int = 200_000, most_words: int = 200_000) -> None:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        #: special tokens are never encoded, but ids of other origin may hold them
+        self.special = {t["id"]: t["content"].encode() for t in whole.get("added_tokens") or []}
         letters = byte_letters()
         self.bytes_of = {i: bytes(letters[c] for c in s) for s, i in model["vocab"].items() if all(c in letters for c in s)}
         by_text = model["vocab"]
@@ -162,7 +167,7 @@ class Transducer:
         need, code, least = 0, 0, 0
         for i in ids:
             part = []
-            for b in self.bytes_of[i]:
+            for b in self.bytes_of[i] if i in self.bytes_of else self.special[i]:
                 if need and b >> 6 == 2:
                     code, need = code << 6 | b & 63, need - 1
                     if not need:
@@ -189,12 +194,19 @@ class Transducer:
 
 @lru_cache(2)
 def transducer(path: str = VOCABULARY) -> Transducer:
-    """One transducer in each Python worker."""
-    return Transducer(path)
+    """One transducer in each Python worker, from the path or, where that is not on the machine, from the copy sent with the job."""
+    return Transducer(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def sent(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary file along with the job."""
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
 
 
 def encoded(df: DataFrame, row_id: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(row id, ids) of every row."""
+    sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = transducer(path).encode
@@ -211,6 +223,7 @@ def encoded(df: DataFrame, row_id: str, text: str, path: str = VOCABULARY) -> Da
 
 def round_trip(df: DataFrame, row_id: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(row id, n_tokens, same): whether decoding the ids gives the text again."""
+    sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)

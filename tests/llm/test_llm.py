@@ -93,6 +93,8 @@ def test_encoding_equals_the_public_tokenizer():
     assert t.encode(None) == []
     euro = [i for i, b in t.bytes_of.items() if b == b"\xe2"] + [t.byte_id[0x41]]
     assert "".join(t.decode(euro)) == "�A"
+    (special,) = t.special
+    assert "".join(t.decode([t.byte_id[0x41], special])) == "A<|endoftext|>"
 
 
 @has_vocab
