@@ -116,6 +116,32 @@ def judge_score(text: Column) -> Column:
     return F.coalesce(pick(r"\[\s*(\d+)\s*\]"), pick(r"(?<![\d.,])(\d+)(?![\d]|[.,]\d)"))
 
 
+def response_field(record: Column) -> Column:
+    """The answer in a JSON record: ``response`` itself, or its ``text`` or ``content`` if it is an object; '' if there is none."""
+    whole = F.get_json_object(record, "$.response")
+    inside = F.coalesce(*[F.nullif(F.get_json_object(record, f"$.response.{k}"), F.lit("")) for k in ("text", "content")])
+    return F.coalesce(F.when(F.startswith(F.ltrim(whole), F.lit("{")), F.coalesce(inside, whole)).otherwise(whole), F.lit(""))
+
+
+def loose_response(record: Column) -> Column:
+    """The answer without thoughts, on one line."""
+    return one_space(without_thoughts(response_field(record)))
+
+
+def motivation(reply: Column) -> Column:
+    """A judge's reason: what the third step says, up to the fourth step or a final score; without such a step, the last line before the last
+    line that holds a bracketed number.  Null if there is neither."""
+    lead = r"(?iu)^\s*motiva[tț]ie\s*[:\-]\s*"
+    step = F.regexp_extract(reply, r"(?isu)(?<![\p{L}\d])PASUL\s*3(?![\p{L}\d])[\s:.\-]*(?:motiva[tț]ie[\s:.\-]*)?(.*?)(?=(?<![\p{L}\d])PASUL\s*4(?![\p{L}\d])|\[\s*\d{1,3}\s*\](?:\s*$)?|\z)", 1)
+    has_step = reply.rlike(r"(?iu)(?<![\p{L}\d])PASUL\s*3(?![\p{L}\d])")
+    rows = F.filter(F.transform(F.split(reply, r"\r\n|[\n\r]"), lambda x: F.trim(x)), lambda x: x != "")
+    scored = r"\[\s*\d+\s*\]"
+    last = F.array_max(F.transform(rows, lambda x, k: F.when(x.rlike(scored), k)))
+    before = F.filter(rows, lambda x, k: (k < last) & ~x.rlike(scored))
+    fallback = F.regexp_replace(F.try_element_at(before, F.lit(-1)), lead, "")
+    return F.when(has_step, F.nullif(one_space(F.regexp_replace(step, lead, "")), F.lit(""))).otherwise(F.trim(fallback))
+
+
 def run_name(name: Column) -> Column:
     """(model, date, past_days, seed) of a result file's name; a name without a seed has seed 1."""
     p = r"^(.*)_(\d{4}-\d{2}-\d{2})_(\d+)_past_days(?:_seed(\d+))?"

@@ -34,22 +34,57 @@ def rouge_n(df: DataFrame, row_id: str, a: str, b: str, n: int) -> DataFrame:
     return s.select(row_id, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f"))
 
 
+def common_subsequence(x: list, y: list) -> int:
+    """Length of the longest common subsequence, with one bit a token of y."""
+    at: dict = {}
+    for j, t in enumerate(y):
+        at[t] = at.get(t, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for t in x:
+        hit = row & at.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(y) - row.bit_count()
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f")]))
+def rouge_l(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Precision, recall and F measure of the longest common subsequence of the token arrays a (response) and b (reference)."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = list(x) if x is not None else [], list(y) if y is not None else []
+        n = common_subsequence(x, y)
+        out.append((n / len(x) if x else 0.0, n / len(y) if y else 0.0, 2 * n / (len(x) + len(y)) if n else 0.0))
+    return pd.DataFrame(out, columns=["precision", "recall", "f"])
+
+
 @F.pandas_udf(T.DoubleType())
-def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
-    """F measure of the longest common subsequence."""
+def meteor(a: pd.Series, b: pd.Series) -> pd.Series:
+    """METEOR with exact matches only: a mean of precision and recall that leans to recall, less for every break in the order.
+
+    A word of the response goes with the word of the reference that follows its neighbour's, else with the first one that is free.
+    """
 
     def one(x, y):
         x, y = list(x) if x is not None else [], list(y) if y is not None else []
-        if not x or not y:
+        free: dict = {}
+        for j, t in enumerate(y):
+            free.setdefault(t, {})[j] = None
+        m = chunks = 0
+        before, before_i = -2, -2
+        for i, t in enumerate(x):
+            if not free.get(t):
+                continue
+            j = before + 1 if before_i == i - 1 and before + 1 in free[t] else next(iter(free[t]))
+            del free[t][j]
+            chunks += not (before_i == i - 1 and j == before + 1)
+            m, before, before_i = m + 1, j, i
+        if not m:
             return 0.0
-        row = [0] * (len(y) + 1)
-        for t in x:
-            diag = 0
-            for j, u in enumerate(y, 1):
-                diag, row[j] = row[j], diag + 1 if t == u else max(row[j], row[j - 1])
-        return 2 * row[-1] / (len(x) + len(y))
+        p, r = m / len(x), m / len(y)
+        return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())

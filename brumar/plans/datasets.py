@@ -93,11 +93,11 @@ def latest_report(spark, d):
     return top_n(reports(spark, d).where("day is not null"), ["day"], [F.desc_nulls_last("processing_timestamp"), F.desc("diag_id")], 1).select("day", "diag_id")
 
 
-@query("""SELECT CAST(json_object('PRIMA_PROPOZITIE', 1) IS NOT NULL AS BOOLEAN) AS ok, count(*) AS n, count(formatted_diagnosis.PRIMA_PROPOZITIE) AS n_first, count(formatted_diagnosis.PROPOZITIA_FINALA) AS n_last FROM formatted_diagnoses GROUP BY 1""")
+@query("""SELECT diag_id, to_json({'PRIMA_PROPOZITIE': formatted_diagnosis.PRIMA_PROPOZITIE, 'A_TREIA_PROPOZITIE': formatted_diagnosis.A_TREIA_PROPOZITIE, 'A_PATRA_PROPOZITIE': formatted_diagnosis.A_PATRA_PROPOZITIE, 'PROPOZITIA_FINALA': formatted_diagnosis.PROPOZITIA_FINALA})::VARCHAR AS kept FROM formatted_diagnoses WHERE formatted_diagnosis IS NOT NULL""")
 def drop_fields(spark, d):
-    """Nested records without one of their fields keep the others."""
-    t = table(spark, d, "formatted_diagnoses").withColumn("f", F.col("formatted_diagnosis").dropFields("A_DOUA_PROPOZITIE"))
-    return t.agg(F.lit(True).alias("ok"), F.count(F.lit(1)).alias("n"), F.count("f.PRIMA_PROPOZITIE").alias("n_first"), F.count("f.PROPOZITIA_FINALA").alias("n_last")).select("ok", "n", "n_first", "n_last")
+    """Nested records without one of their fields keep the others; the JSON of the record shows that it is gone."""
+    t = table(spark, d, "formatted_diagnoses").where("formatted_diagnosis is not null").withColumn("f", F.col("formatted_diagnosis").dropFields("A_DOUA_PROPOZITIE"))
+    return t.select("diag_id", F.to_json("f", {"ignoreNullFields": "false"}).alias("kept"))
 
 
 @query("""SELECT train_id, sursa, CAST(i - 1 AS BIGINT) AS position, messages[i].role AS role, CAST(length(messages[i].content) AS BIGINT) AS n_chars FROM train_data, unnest(generate_series(1, len(messages))) AS t(i)""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brumar.common import table
 from brumar.operators import experiments as X
-from brumar.operators.similarity import best_matches, cosine
+from brumar.operators.similarity import best_matches
 from brumar.operators.similarity import greedy_match as matched
 from brumar.plans.registry import query
 
@@ -103,16 +103,6 @@ def test_matrix(spark, d):
     return one("scenario", ["monthly", "daily"]).crossJoin(one("fold", [1, 2, 3, 4])).crossJoin(one("mode", ["zero", "few", "aux"]))
 
 
-@query("""WITH a AS (SELECT vec_id, label, embedding AS e FROM embeddings), q AS (SELECT label, min(vec_id) AS vec_id FROM a GROUP BY 1), c AS (SELECT a.label, a.vec_id, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: CAST(a.e[i] AS DOUBLE) * CAST(b.e[i] AS DOUBLE))) / sqrt(list_sum(list_transform(a.e, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(b.e, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS s FROM a JOIN q ON a.label = q.label JOIN a b ON b.vec_id = q.vec_id WHERE a.vec_id <> q.vec_id)
-SELECT CAST(label AS BIGINT) AS label, round(max(s), 5) AS best, round(avg(s), 5) AS mean, count(*) AS n FROM c GROUP BY 1""")
-def greedy_cosine(spark, d):
-    """Similarity of the vectors of each label to the first one of that label; no matching, which is ``greedy_match``."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
-    q = e.groupBy("label").agg(F.min("vec_id").alias("q_id"), F.min_by("e", "vec_id").alias("qe"))
-    c = e.join(q, "label").where("vec_id <> q_id").withColumn("s", cosine(F.col("e"), F.col("qe")))
-    return c.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.round(F.max("s"), 5).alias("best"), F.round(F.avg("s"), 5).alias("mean"), F.count(F.lit(1)).alias("n"))
-
-
 BEST = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0), m AS (SELECT a.vec_id, a.label, b.label AS other, max(list_cosine_similarity(a.e, b.e)) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3)"
 
 

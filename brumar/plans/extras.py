@@ -79,11 +79,11 @@ def unparsed_counts(spark, d):
     return t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("text").rlike(r"\[[^\[\]]*\]")).alias("n_unparsed"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_extract(text, '^([^.]*)\.', 1)) AS motivation FROM documents WHERE source = 'judge_response' AND text IS NOT NULL AND regexp_matches(text, '^[^.]*\.')""")
+@query()
 def judge_motivation(spark, d):
-    """The first sentence of a judge's reply."""
-    t = table(spark, d, "documents").where("source = 'judge_response' and text is not null").where(F.col("text").rlike(r"^[^.]*\."))
-    return t.select("doc_id", F.trim(F.regexp_extract("text", r"^([^.]*)\.", 1)).alias("motivation"))
+    """A judge's reason, for every reply."""
+    t = table(spark, d, "documents").where("source = 'judge_response' and text is not null")
+    return t.select("doc_id", X.motivation(F.col("text")).alias("motivation"))
 
 
 @query("""WITH t AS (SELECT train_id, messages, list_filter(messages, lambda m: m.role = 'assistant') AS a FROM train_data), c AS (SELECT sursa FROM test_data_zero_shot WHERE sursa IS NOT NULL GROUP BY 1 HAVING count(*) >= 10)
@@ -102,7 +102,10 @@ def length_bands(spark, d):
     return table(spark, d, "documents").where("text is not null").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_LABEL_SQL = [("PRIMA PROPOZIȚIE", "PRIMA PROPOZI[ȚŢT]?I[AE]"), ("A DOUA PROPOZIȚIE", "A DOUA PROPOZI[ȚŢT]?I[AE]"), ("A TREIA PROPOZIȚIE", "A TREIA PROPOZI[ȚŢT]?I[AE]"), ("A PATRA PROPOZIȚIE", "A PATRA PROPOZI[ȚŢT]?I[AE]"), ("PROPOZIȚIA FINALĂ", "PROPOZI[ȚŢT]?IA FINAL[ĂA]")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS label, count(*) AS n FROM documents WHERE len(list_filter(regexp_extract_all(text, '(?i){p}:[ \t]*([^\n]*)', 1), lambda s: trim(s) NOT IN ('', '-'))) > 0" for n, p in _LABEL_SQL))
 def section_labels(spark, d):
     """How many structured texts have each of the five labels."""
     t = table(spark, d, "documents").where("text is not null")

@@ -66,10 +66,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).where(~F.col("occupied")).select("denumire", "ora")
 
 
-@query()
+GRID_SQL = f"""
+WITH o AS (SELECT Denumire AS e, epoch_us("Data masurarii") AS t, avg(CASE WHEN isnan(Rff1) OR Rff1 IN (-999, -9999, -99999, -999.9, -9999.9) THEN NULL ELSE Rff1 END) AS v, count(*) AS n FROM {READINGS} WHERE Denumire IS NOT NULL AND "Data masurarii" IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT e, t, v, least(coalesce(lead(t) OVER (PARTITION BY e ORDER BY t), t + 10800000000), t + 10800000000) AS until FROM o WHERE v IS NOT NULL),
+c AS (SELECT e, t, v, until, unnest(generate_series((t + 1800000000) // 3600000000, (until - 1 + 1800000000) // 3600000000)) AS h FROM u),
+w AS (SELECT e, h, v, least(until, h * 3600000000 + 1800000000) - greatest(t, h * 3600000000 - 1800000000) AS k FROM c),
+m AS (SELECT e, h, sum(v * k) AS vk, sum(k) AS k FROM w GROUP BY 1, 2),
+r AS (SELECT e, (t + 1800000000) // 3600000000 AS h, sum(n) AS n FROM o GROUP BY 1, 2),
+s AS (SELECT e, unnest(generate_series(min(h), max(h))) AS h FROM r GROUP BY 1)
+SELECT s.e AS denumire, strftime(make_timestamp(s.h * 3600000000), '%Y-%m-%d %H:%M') AS ora, round(vk / k, 6) AS mean_value, round(coalesce(k, 0) / 3600000000, 6)::DOUBLE AS coverage, coalesce(n, 0)::BIGINT AS n_rows, n IS NOT NULL AS occupied, CASE WHEN n IS NOT NULL THEN 'read' WHEN k > 0 THEN 'filled' ELSE 'missing' END AS mark
+FROM s LEFT JOIN m ON s.e = m.e AND s.h = m.h LEFT JOIN r ON s.e = r.e AND s.h = r.h"""
+
+
+@query(GRID_SQL)
 def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     """One row per station and full hour with its time-weighted mean, coverage and mark."""
-    return _grid(spark, d)
+    return _grid(spark, d).withColumns({"mean_value": F.round("mean_value", 6), "coverage": F.round("coverage", 6)})
 
 
 @query(HOURS_SQL + ", CAST(coalesce(h.n, 0) AS BIGINT) AS n_rows FROM s LEFT JOIN h ON s.denumire = h.denumire AND s.h = h.h")

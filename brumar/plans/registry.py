@@ -31,7 +31,7 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
 
 
 def _load() -> None:
-    from brumar.plans import datasets, experiments, extras, forecasts, problems, sensors, texts  # noqa: F401
+    from brumar.plans import datasets, experiments, extras, forecasts, problems, reports, sensors, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

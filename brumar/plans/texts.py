@@ -87,21 +87,66 @@ def rouge_2(spark, d):
     return got.select("diag_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
+@query(f"""WITH {PAIR}, t AS (SELECT diag_id, {WORD.format(c='a')} AS x, {WORD.format(c='b')} AS y FROM p),
+gx AS (SELECT diag_id, unnest(x) AS g, count(*) AS n FROM t GROUP BY 1, 2), gy AS (SELECT diag_id, unnest(y) AS g, count(*) AS n FROM t GROUP BY 1, 2),
+j AS (SELECT coalesce(gx.diag_id, gy.diag_id) AS diag_id, sum(least(coalesce(gx.n, 0), coalesce(gy.n, 0))) AS b, sum(coalesce(gx.n, 0)) AS nx, sum(coalesce(gy.n, 0)) AS ny FROM gx FULL JOIN gy ON gx.diag_id = gy.diag_id AND gx.g = gy.g GROUP BY 1)
+SELECT diag_id, round(CASE WHEN nx > 0 THEN b / nx ELSE 0 END, 6)::DOUBLE AS precision, round(CASE WHEN ny > 0 THEN b / ny ELSE 0 END, 6)::DOUBLE AS recall, round(CASE WHEN b > 0 THEN 2 * b / (nx + ny) ELSE 0 END, 6)::DOUBLE AS f FROM j""")
+def rouge_1(spark, d):
+    p = pairs(spark, d).select("diag_id", X.words(F.col("a")).alias("x"), X.words(F.col("b")).alias("y"))
+    got = S.rouge_n(p, "diag_id", "x", "y", 1)
+    return got.select("diag_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+GATED = f"""g AS (SELECT diag_id, coalesce(original_diagnosis, '') AS a, coalesce(concat_ws(' ', formatted_diagnosis.PRIMA_PROPOZITIE, formatted_diagnosis.A_DOUA_PROPOZITIE, formatted_diagnosis.A_TREIA_PROPOZITIE, formatted_diagnosis.A_PATRA_PROPOZITIE, formatted_diagnosis.PROPOZITIA_FINALA), '') AS b FROM formatted_diagnoses),
+w AS (SELECT *, list_distinct({TOK.format(c='a').replace('{{', '{').replace('}}', '}')}) AS x, list_distinct({TOK.format(c='b').replace('{{', '{').replace('}}', '}')}) AS y FROM g)"""
+
+
+def _gated(spark, d):
+    parts = [F.col("formatted_diagnosis." + x) for x in ("PRIMA_PROPOZITIE", "A_DOUA_PROPOZITIE", "A_TREIA_PROPOZITIE", "A_PATRA_PROPOZITIE", "PROPOZITIA_FINALA")]
+    t = table(spark, d, "formatted_diagnoses").select("diag_id", F.coalesce("original_diagnosis", F.lit("")).alias("a"), F.concat_ws(" ", *parts).alias("b"))
+    return t.withColumns({"x": F.array_distinct(X.content_words(F.col("a"))), "y": F.array_distinct(X.content_words(F.col("b")))})
+
+
+@query(f"WITH {GATED} SELECT diag_id, CAST(length(a) AS BIGINT) AS length, CASE WHEN len(y) > 0 THEN round(len(list_intersect(x, y)) / len(y), 6) END AS reference_coverage FROM w")
+def metric_gating(spark, d):
+    """Length of every response, and its overlap with the reference only where there is a reference."""
+    return _gated(spark, d).select("diag_id", F.length("a").alias("length"), F.when(F.size("y") > 0, F.round(F.size(F.array_intersect("x", "y")) / F.size("y"), 6)).alias("reference_coverage"))
+
+
+@query(f"WITH {GATED}, e AS (SELECT diag_id, unnest([struct_pack(metric := 'jaccard', error := CASE WHEN len(x) = 0 AND len(y) = 0 THEN 'no words' END), struct_pack(metric := 'reference_coverage', error := CASE WHEN len(y) = 0 THEN 'empty reference' END), struct_pack(metric := 'response_coverage', error := CASE WHEN len(x) = 0 THEN 'empty response' END)]) AS m FROM w) SELECT m.metric AS metric, count(m.error) AS n_errors, arg_min(m.error, diag_id) FILTER (WHERE m.error IS NOT NULL) AS first_error FROM e GROUP BY 1")
+def metric_errors(spark, d):
+    """Failures of each metric and the first message."""
+    x, y = F.size("x") == 0, F.size("y") == 0
+    errors = {"jaccard": F.when(x & y, "no words"), "reference_coverage": F.when(y, "empty reference"), "response_coverage": F.when(x, "empty response")}
+    e = _gated(spark, d).select("diag_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("error")) for m, c in errors.items()])).alias("m")).select("diag_id", "m.*")
+    return e.groupBy("metric").agg(F.count("error").alias("n_errors"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("diag_id"))).alias("first_error"))
+
+
+@query(r"""WITH r AS (SELECT test_id, CASE test_id % 4 WHEN 0 THEN to_json({'response': {'text': reference_diagnosis}}) WHEN 1 THEN to_json({'response': {'text': '', 'content': reference_diagnosis}}) WHEN 2 THEN to_json({'response': reference_diagnosis}) ELSE to_json({'model': approach}) END AS j FROM test_data_zero_shot WHERE reference_diagnosis IS NOT NULL)
+SELECT test_id, trim(regexp_replace(CASE WHEN json_type(j, '$.response') = 'OBJECT' THEN coalesce(nullif(json_extract_string(j, '$.response.text'), ''), json_extract_string(j, '$.response.content')) ELSE coalesce(json_extract_string(j, '$.response'), '') END, '[\s\x{85}\x{0b}\x{a0}\pZ]+', ' ', 'g')) AS answer FROM r""")
+def response_field(spark, d):
+    """Answers out of records of four shapes."""
+    t = table(spark, d, "test_data_zero_shot").where("reference_diagnosis is not null")
+    text, k = F.col("reference_diagnosis"), F.col("test_id") % 4
+    obj = lambda **c: F.to_json(F.struct(*[v.alias(n) for n, v in c.items()]))
+    j = F.when(k == 0, obj(response=F.struct(text.alias("text")))).when(k == 1, obj(response=F.struct(F.lit("").alias("text"), text.alias("content")))).when(k == 2, obj(response=text)).otherwise(obj(model=F.col("approach")))
+    return t.select("test_id", X.loose_response(j).alias("answer"))
+
+
 @query()
 def rouge_l(spark, d):
-    return pairs(spark, d).select("diag_id", F.round(S.rouge_l(X.words(F.col("a")), X.words(F.col("b"))), 6).alias("f"))
+    got = pairs(spark, d).select("diag_id", S.rouge_l(X.words(F.col("a")), X.words(F.col("b"))).alias("r"))
+    return got.select("diag_id", *[F.round(f"r.{c}", 6).alias(c) for c in ("precision", "recall", "f")])
 
 
 @query()
-def bleu(spark, d):
-    return pairs(spark, d).select("diag_id", F.round(S.bleu(X.words(F.col("a")), X.words(F.col("b"))), 6).alias("bleu"))
+def meteor(spark, d):
+    return pairs(spark, d).select("diag_id", F.round(S.meteor(X.words(F.col("a")), X.words(F.col("b"))), 6).alias("meteor"))
 
 
-@query(f"WITH {DOCS}, l AS (SELECT doc_id, " + ", ".join(f"(list_filter(regexp_extract_all(text, '(?i){p}:[ \\t]*([^\\n]*)', 1), lambda s: trim(s) NOT IN ('', '-')))[1] AS s{i}" for i, p in enumerate(["PRIMA PROPOZI[ȚŢT]?I[AE]", "A DOUA PROPOZI[ȚŢT]?I[AE]", "PROPOZI[ȚŢT]?IA FINAL[ĂA]"])) + " FROM d WHERE text ILIKE 'BUCURE%PRIMA PROPOZI%' AND len(regexp_extract_all(text, '(?i)PRIMA PROPOZI')) = 1) SELECT doc_id, trim(s0) AS first, trim(s1) AS second, trim(s2) AS last FROM l")
-def label_sections(spark, d):
-    """Three sections of the structured reports that hold one report; ``report_sections`` gives all five of all texts."""
-    one = docs(spark, d).where(F.col("text").ilike("BUCURE%PRIMA PROPOZI%") & (F.size(F.regexp_extract_all("text", F.lit("(?iu)PRIMA PROPOZI"), F.lit(0))) == 1))
-    return one.select("doc_id", X.labelled(F.col("text"), X.SECTION_LABELS[0]).alias("first"), X.labelled(F.col("text"), X.SECTION_LABELS[1]).alias("second"), X.labelled(F.col("text"), X.SECTION_LABELS[4]).alias("last"))
+@query()
+def bleu(spark, d):
+    return pairs(spark, d).select("diag_id", F.round(S.bleu(X.words(F.col("a")), X.words(F.col("b"))), 6).alias("bleu"))
 
 
 _LABELS = ["PRIMA PROPOZI[ȚŢT]?I[AE]", "A DOUA PROPOZI[ȚŢT]?I[AE]", "A TREIA PROPOZI[ȚŢT]?I[AE]", "A PATRA PROPOZI[ȚŢT]?I[AE]", "PROPOZI[ȚŢT]?IA FINAL[ĂA]"]
@@ -129,7 +174,16 @@ def line_sections(spark, d):
     return got.where(F.concat(*_SECTIONS) != "")
 
 
-@query()
+_SPACE = r"[\s\x{85}\x{0b}\x{a0}\pZ]+"
+
+
+@query(
+    f"WITH {DOCS}, c AS (SELECT doc_id, regexp_replace(text, '<think>.*?</think>', '', 'gis') AS t FROM d), l AS (SELECT doc_id, t, "
+    + ", ".join(f"list_filter(list_transform(regexp_extract_all(t, '(?i){p}:[ \t]*([^\n]*)', 1), lambda s: trim(s)), lambda s: s NOT IN ('', '-')) AS {n}" for p, n in zip(_LABELS, _SECTIONS))
+    + " FROM c), j AS (SELECT doc_id, t, concat_ws(' ', "
+    + ", ".join(f"list_filter({n}, lambda s: length(s) = list_max(list_transform({n}, lambda x: length(x))))[1]" for n in _SECTIONS)
+    + f") AS joined FROM l) SELECT doc_id, trim(regexp_replace(CASE WHEN joined = '' THEN t ELSE joined END, '{_SPACE}', ' ', 'g')) AS sentences FROM j"
+)
 def structured_sentences(spark, d):
     return docs(spark, d).select("doc_id", X.structured(F.col("text")).alias("sentences"))
 
@@ -145,8 +199,9 @@ def score_list(spark, d):
     return docs(spark, d).select("doc_id", F.round(X.last_scores(F.col("text")), 6).alias("score")).where("score is not null")
 
 
-@query("""WITH t AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, 'Nota [' || CAST(l_quantity AS INTEGER) || ', 12] apoi ' || CASE WHEN l_returnflag = 'A' THEN '[' || CAST(CAST(l_quantity AS INTEGER) * 3 AS VARCHAR) || ']' ELSE 'scor ' || CAST(CAST(l_quantity AS INTEGER) * 2 AS VARCHAR) END || ' din 250.' AS text, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS f FROM lineitem)
-SELECT k, i, CAST(CASE WHEN f = 'A' AND q * 3 <= 100 THEN q * 3 WHEN f = 'A' THEN 12 WHEN q * 2 <= 100 THEN q * 2 ELSE 12 END AS BIGINT) AS score FROM t""")
+@query("""WITH t AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS i, 'Nota [' || CAST(l_quantity AS INTEGER) || ', 12] apoi ' || CASE WHEN l_returnflag = 'A' THEN '[' || CAST(CAST(l_quantity AS INTEGER) * 3 AS VARCHAR) || ']' ELSE 'scor ' || CAST(CAST(l_quantity AS INTEGER) * 2 AS VARCHAR) END || ' din 250.' AS text FROM lineitem),
+n AS (SELECT k, i, list_filter(list_transform(regexp_extract_all(text, '\\[\\s*(\\d+)\\s*\\]', 1), lambda s: CAST(s AS INTEGER)), lambda v: v <= 100) AS a, list_filter(list_transform(regexp_extract_all(text, '\\d+'), lambda s: CAST(s AS INTEGER)), lambda v: v <= 100) AS b FROM t)
+SELECT k, i, CAST(coalesce(a[-1], b[-1]) AS BIGINT) AS score FROM n""")
 def judge_integer(spark, d):
     q = F.col("l_quantity").cast("int")
     s = lambda c: c.cast("string")

@@ -55,3 +55,19 @@ def first_file_of_day(spark: SparkSession, root: str, suffix: str = "txt") -> Da
 def flattened(df: DataFrame, results: str, keep: list[str]) -> DataFrame:
     """One row for each entry of an array of structs; records without entries stay with nulls."""
     return df.select(*keep, F.explode_outer(results).alias("r")).select(*keep, "r.*")
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table stored at path, or what ``make()`` gives, stored there first, where nothing readable is stored."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if not any(k in str(e) for k in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")):
+            raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def preview(df: DataFrame, column: str, rows: int = 5, values: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(some rows, the different values of a column in order), for a look at a file."""
+    return df.limit(rows), df.select(column).distinct().orderBy(column).limit(values)

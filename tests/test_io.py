@@ -64,3 +64,28 @@ def test_streams(spark, tmp_path):
     q = readings.stuck_runs(stream(), "Denumire", "Data masurarii", "Rff1").writeStream.format("memory").queryName("runs").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["length"] for r in spark.table("runs").collect()) == [8, 9, 10, 11]
+
+
+def test_cached_tables_and_logs(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(1, "a", 10), (2, "b", 99)], "k int, g string, tokens int")
+
+    path = str(tmp_path / "cache")
+    assert readers.cached(spark, path, make).count() == 2 and readers.cached(spark, path, make).count() == 2 and len(made) == 1
+    df = make()
+    rows, values = readers.preview(df, "g", 1)
+    assert rows.count() == 1 and [r["g"] for r in values.collect()] == ["a", "b"]
+    writers.subset_csv(df, str(tmp_path / "subset"), "g", ["b"])
+    assert spark.read.csv(str(tmp_path / "subset"), header=True).count() == 1
+    writers.summary_csvs({"one": df, "two": df.limit(1)}, str(tmp_path / "tables"))
+    assert spark.read.csv(str(tmp_path / "tables/two"), header=True).count() == 1
+    writers.dataset_json(df, str(tmp_path / "data"), "g")
+    assert spark.read.json(str(tmp_path / "data/summary")).count() == 2
+    writers.prompt_files(df, str(tmp_path / "prompts"), "k", "g")
+    assert {(r["k"], r["value"]) for r in spark.read.text(str(tmp_path / "prompts")).collect()} == {(1, "a"), (2, "b")}
+    log = str(tmp_path / "log")
+    assert writers.append_tripped(df, log, "tokens", 100) == 0 and not (tmp_path / "log").exists()
+    assert writers.append_tripped(df, log, "tokens", 50) == 1 == writers.append_tripped(df, log, "tokens", 50) and spark.read.json(log).count() == 2

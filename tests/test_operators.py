@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brumar.functions import text as X
-from brumar.operators import assembly, experiments, forecast, quality, rollup, similarity, zones
+from brumar.operators import assembly, checks, experiments, forecast, quality, rendering, rollup, similarity, zones
 
 
 def one(spark, column, **values):
@@ -223,10 +223,86 @@ def test_half_even(spark):
 def test_similarity(spark):
     df = spark.createDataFrame([("a b c d", "a b c d"), ("a b", "c d"), ("", "x")], "x string, y string")
     a, b = X.words(F.col("x")), X.words(F.col("y"))
-    assert [r[0] for r in df.select(similarity.rouge_l(a, b)).collect()] == [1, 0, 0]
+    assert [r[0].f for r in df.select(similarity.rouge_l(a, b)).collect()] == [1, 0, 0]
     assert [round(r[0], 6) for r in df.select(similarity.bleu(a, b)).collect()] == [1, 0, 0]
 
 
+def test_common_subsequence_against_the_table():
+    import random
+
+    r = random.Random(0)
+    for _ in range(200):
+        x, y = ([r.choice("abcd") for _ in range(r.randint(0, 90))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for t in x:
+            diag = 0
+            for j, u in enumerate(y, 1):
+                diag, row[j] = row[j], diag + 1 if t == u else max(row[j], row[j - 1])
+        assert similarity.common_subsequence(x, y) == row[-1]
+
+
+def test_rouge_l_and_meteor(spark):
+    df = spark.createDataFrame([("a b c d", "a x c"), ("the cat sat", "the cat sat"), ("b a", "a b"), ("", "x"), (None, "x")], "x string, y string")
+    a, b = X.words(F.col("x")), X.words(F.col("y"))
+    got = [r[0] for r in df.select(similarity.rouge_l(a, b)).collect()]
+    assert (got[0].precision, got[0].recall, round(got[0].f, 6)) == (0.5, pytest.approx(2 / 3), round(4 / 7, 6))
+    m = [r[0] for r in df.select(similarity.meteor(a, b)).collect()]
+    # two of four and of three, in two pieces; all in one piece; all in two pieces
+    f = 10 * 0.5 * (2 / 3) / (2 / 3 + 9 * 0.5)
+    assert m == [pytest.approx(f * 0.5), pytest.approx(1 - 0.5 / 27), pytest.approx(0.5), 0.0, 0.0]
+
+
+def test_judge_motivation(spark):
+    f = lambda t: one(spark, X.motivation(F.col("t")), t=t)
+    assert f("PASUL 1: a\nPASUL 3: Motivatie: Diferă cu\n două grade. PASUL 4: [73]") == "Diferă cu două grade."
+    assert f("pasul 3 - Bun. [80]") == "Bun." and f("PASUL 3:\nPASUL 4: [3]") is None
+    assert f("Text lung.\nMotivație: prea cald\n\nScor [42]") == "prea cald"
+    assert f("[42]") is None and f("fără scor") is None and f("") is None and f(None) is None
+
+
+def test_response_field(spark):
+    f = lambda t: one(spark, X.loose_response(F.col("t")), t=t)
+    assert f('{"response": {"text": "a  b"}}') == "a b" and f('{"response": {"text": "", "content": "c"}}') == "c"
+    assert f('{"response": "<think>x</think> d\\n e"}') == "d e" and f('{"model": "m"}') == "" and f(None) == "" and f("no json") == ""
+
+
+def test_rendered_blocks(spark):
+    df = spark.sql("""select date'2024-07-05' d, 31.25d tmax, cast(null as double) tmin, 0.0d p, named_struct('mean', 2.0d, 'low', 0.5d, 'high', 9.0d) w, cast(null as struct<value:int,n:int>) s,
+        array(named_struct('name', 'Ploaie', 'n', 3L), named_struct('name', 'Ceata', 'n', 1L)) ph""")
+    day = df.select(rendering.day_block(F.concat(F.lit("ZIUA "), F.col("d").cast("string")), F.col("tmax"), F.col("tmin"), F.col("p"), F.col("w"), F.col("s"), F.col("ph"))).first()[0]
+    assert day == "ZIUA 2024-07-05:\nTemperatura medie maximă București: 31.3°C\nPrecipitații medii București: 0.0 l/m²\nVânt: Media 2.0 m/s (min: 0.5, max: 9.0)\nFenomene:\n  - Ploaie: 3 observații\n  - Ceata: 1 observații\n"
+    ph = df.select(rendering.phenomena_block(F.col("ph"), F.lit(8))).first()[0]
+    assert "Frecvența: 3 apariții (37.5% din timpul observat)" in ph and ph.endswith("- Ploaie: 3 apariții în ultimele 24h\n\n")
+    days = spark.sql("select array(named_struct('day', date'2024-07-01', 'amount', 2.5d, 'tmax', 30d, 'tmin', 20d), named_struct('day', date'2024-07-02', 'amount', cast(null as double), 'tmax', cast(null as double), 'tmin', 18d)) x")
+    rain = days.select(rendering.precipitation_block(F.col("x"))).first()[0]
+    assert "- 01.07.2024: 2.5 l/m² (zi cu precipitații)\n- 02.07.2024: 0.0 l/m² (zi fără precipitații)\n" in rain and "- Zile cu precipitații: 1 din 2\n- Media zilnică: 1.3 l/m²\n\n" in rain
+    t = days.select(rendering.temperature_block(F.col("x"))).first()[0]
+    assert t == "MEDIA TEMPERATURILOR PENTRU TOATE ZILELE:\n- 01.07 Tmax: 30.0°C, Tmin: 20.0°C\n- 02.07 Tmin: 18.0°C\nTemperatura maximă medie generală: 30.0°C\nTemperatura minimă medie generală: 19.0°C\n\n"
+    none = spark.sql("select cast(null as double) v, cast(null as int) i, cast(array() as array<string>) h")
+    assert none.select(rendering.wind_block(F.col("v"), F.lit(1), F.lit("x")), rendering.sky_block(F.col("i"), F.lit(1), F.col("h"))).first()[:] == ("", "")
+    assert "ore de apariție: 06, 12" in one(spark, rendering.sky_block(F.lit(7), F.lit(2), F.array(F.lit("06"), F.lit("12"))))
+
+
+def test_checks(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "x", 2.0)], "d int, g string, v double")
+    b = spark.createDataFrame([(2, "x", 1.0), (3, "x", 2.0)], "d int, g string, v double")
+    assert checks.same_panels({"a": a, "b": b}, "d", "g", "v") == 1
+    for wrong in (b.withColumn("g", F.lit("y")), b.withColumn("v", F.lit(None).cast("double")), b.withColumn("d", F.col("d") + 9), b.limit(0)):
+        with pytest.raises(ValueError):
+            checks.same_panels({"a": a, "b": wrong}, "d", "g", "v")
+    assert checks.required_item(a, "g", "d", 2).count() == 1
+    with pytest.raises(ValueError):
+        checks.required_item(a, "d", "v", 2.0)
+    (tmp_path / "f").write_text("")
+    assert len(checks.required_files(str(tmp_path), ["f"])) == 1
+    with pytest.raises(FileNotFoundError, match="g, h"):
+        checks.required_files(str(tmp_path), ["f", "g", "h"])
+    match = checks.headers_match
+    assert match(["Cifra\nde cod", None, "SEMNIFICATIA"], ["Cifra de cod", "Semnificatia"]) and not match(["Cifra"], ["Cifra de cod", "Semnificatia"], exact=True)
+    assert match(["Semnificatie"], ["Semnificatia"]) and not match(["xyz", "uvw"], ["Cifra de cod", "Semnificatia"]) and not match([], ["a"])
+    assert checks.continues(["12", "Ploaie"], 2) and not checks.continues(["Cod", "Sens"], 2) and not checks.continues(["1"], 2)
+
+
 @pytest.mark.parametrize("block", [3, 100])
 def test_greedy_match(spark, block):
     import numpy as np
