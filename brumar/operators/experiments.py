@@ -27,17 +27,26 @@ def high_variance(df: DataFrame, by: list[str], value: str, over: float) -> Data
     return df.groupBy(*by).agg(F.stddev_samp(value).alias("std"), F.count(value).alias("n")).where((F.col("n") > 1) & (F.col("std") > over))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank within by, ties share the average."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
+def average_ranks(df: DataFrame, by: str, value: str, to: str) -> DataFrame:
+    """(by, value, to): the rank of every different value, ties sharing the average; values are counted before they are ordered."""
+    n = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return n.select(by, value, (upto - (F.col("__n") - 1) / 2).alias(to))
 
 
 def spearman(df: DataFrame, by: str, a: str, b: str, least: int = 3) -> DataFrame:
-    """Rank correlation by group, null under ``least`` pairs."""
+    """Rank correlation by group, null under ``least`` pairs or where one side has a single value.
+
+    Pairs and values are counted first, so that what is ordered in one task is the different values of a group only.
+    """
     ok = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = ok.select(by, average_rank(a, [by]).alias("ra"), average_rank(b, [by]).alias("rb"))
-    return r.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("ra", "rb")).alias("rho"))
+    pairs = ok.groupBy(by, a, b).agg(F.count(F.lit(1)).alias("__c"))
+    r = pairs.join(average_ranks(ok, by, a, "__x"), [by, a]).join(average_ranks(ok, by, b, "__y"), [by, b])
+    c, x, y = F.col("__c"), F.col("__x"), F.col("__y")
+    s = r.groupBy(by).agg(F.sum(c).alias("n"), *[F.sum(c * e).alias(k) for k, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2))
+    return s.select(by, "n", F.when((n >= least) & (spread > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).alias("rho"))
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
