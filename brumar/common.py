@@ -72,3 +72,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     small = small.persist()
     n = small.limit(most + 1).count()
     return big.join(F.broadcast(small) if n <= most else small, on, how)
+
+
+def with_each(big: DataFrame, small: DataFrame, most: int = SMALL) -> DataFrame:
+    """Every row with every row of a small table, for spines whose size is that of the result; sent out only if counting shows that it is small."""
+    small = small.persist()
+    n = small.limit(most + 1).count()
+    return big.join(F.broadcast(small) if n <= most else small, how="cross")

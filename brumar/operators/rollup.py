@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brumar.common import with_each
+
 
 def station_dim(registry: DataFrame, name: str, group: str, parent: str) -> DataFrame:
     """One row per name: (entity, grp, parent); of several rows the largest non-null values."""
@@ -20,7 +22,7 @@ def group_day_fallback(days: DataFrame, dim: DataFrame, value: str = "mean_value
     rows = days.join(dim, "entity").where(F.col(value).isNotNull() & F.col("grp").isNotNull() & F.col("parent").isNotNull())
     sets = rows.groupingSets([["day", "grp", "parent"], ["day", "parent"], ["day"]], "day", "grp", "parent").agg(F.avg(value).alias("v"))
     pairs = rows.select("grp", "parent").distinct()
-    spine = rows.select("day").distinct().join(F.broadcast(pairs), how="cross")  # days x groups is the result's own size
+    spine = with_each(rows.select("day").distinct(), pairs)  # days x groups is the result's own size
     g = sets.where("grp is not null").select("day", "grp", "parent", F.col("v").alias("gv"))
     p = sets.where(F.col("grp").isNull() & F.col("parent").isNotNull()).select("day", "parent", F.col("v").alias("pv"))
     a = sets.where(F.col("grp").isNull() & F.col("parent").isNull()).select("day", F.col("v").alias("av"))
@@ -37,7 +39,7 @@ def entity_month_mean(days: DataFrame, low: str, high: str) -> DataFrame:
 def group_macro(means: DataFrame, dim: DataFrame) -> DataFrame:
     """By group and month: mean of the entity means, entities expected, with data and without."""
     months = means.select("month").distinct()
-    expected = dim.where("grp is not null").join(F.broadcast(months), how="cross")
+    expected = with_each(dim.where("grp is not null"), months)
     j = expected.join(means, ["entity", "month"], "left")
     return j.groupBy("grp", "month").agg(F.avg("mean_mid").alias("mean_mid"), F.count(F.lit(1)).alias("n_expected"), F.count("mean_mid").alias("n_aggregated"), F.concat_ws("|", F.array_sort(F.collect_list(F.when(F.col("mean_mid").isNull(), F.col("entity"))))).alias("missing"))
 

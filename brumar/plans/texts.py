@@ -123,7 +123,7 @@ def metric_errors(spark, d):
 
 
 @query(r"""WITH r AS (SELECT test_id, CASE test_id % 4 WHEN 0 THEN to_json({'response': {'text': reference_diagnosis}}) WHEN 1 THEN to_json({'response': {'text': '', 'content': reference_diagnosis}}) WHEN 2 THEN to_json({'response': reference_diagnosis}) ELSE to_json({'model': approach}) END AS j FROM test_data_zero_shot WHERE reference_diagnosis IS NOT NULL)
-SELECT test_id, trim(regexp_replace(CASE WHEN json_type(j, '$.response') = 'OBJECT' THEN coalesce(nullif(json_extract_string(j, '$.response.text'), ''), json_extract_string(j, '$.response.content')) ELSE coalesce(json_extract_string(j, '$.response'), '') END, '[\s\x{85}\x{0b}\x{a0}\pZ]+', ' ', 'g')) AS answer FROM r""")
+SELECT test_id, trim(regexp_replace(CASE WHEN json_type(j, '$.response') = 'OBJECT' THEN coalesce(nullif(json_extract_string(j, '$.response.text'), ''), nullif(json_extract_string(j, '$.response.content'), ''), CAST(json_extract(j, '$.response') AS VARCHAR)) ELSE coalesce(json_extract_string(j, '$.response'), '') END, '[\s\x{85}\x{0b}\x{a0}\pZ]+', ' ', 'g')) AS answer FROM r""")
 def response_field(spark, d):
     """Answers out of records of four shapes."""
     t = table(spark, d, "test_data_zero_shot").where("reference_diagnosis is not null")
