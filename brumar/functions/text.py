@@ -51,6 +51,24 @@ def content_words(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.filter(words(text), lambda w: ~w.isin(list(stop)))  # a list of literals becomes a hash set
 
 
+# Words for time that are never left out.
+TIME_WORDS = """
+azi astăzi ieri alaltăieri mâine poimâine acum atunci înainte după apoi dimineață dimineața prânz seara seară noapte noaptea ziua zi
+""".split()
+
+
+def comparable(text: Column, stop: list[str] | None = STOP_WORDS) -> Column:
+    """A text made ready for comparison: comma letters, single blanks, lower case and, unless ``stop`` is None, without function words.
+
+    Words are what lies between blanks, marks included; words for time stay.  Null and empty texts give ''.
+    """
+    plain = F.lower(one_space(fold_cedilla(F.coalesce(text, F.lit("")))))
+    if stop is None:
+        return plain
+    gone = [w for w in stop if w not in TIME_WORDS]
+    return F.array_join(F.filter(F.split(plain, " "), lambda w: ~w.isin(gone)), " ")
+
+
 def sentence_count(text: Column) -> Column:
     return F.greatest(F.lit(0), F.size(F.split(text, r"[.!?]+")) - 1)
 

@@ -107,3 +107,17 @@ def set_consistency(sets: dict[str, DataFrame]) -> DataFrame:
     every = F.array(*[F.lit(n) for n in sorted(sets)])
     got = tagged.groupBy("member").agg(F.collect_set("s").alias("have"))
     return got.where(F.size("have") < len(sets)).select("member", F.size("have").cast("bigint").alias("n_sets"), F.array_join(F.array_except(every, "have"), ",").alias("missing_from"))
+
+
+def clean_cell(text: Column) -> Column:
+    """The trimmed text; null where it is blank or one of the words that stand for nothing."""
+    t = F.trim(text)
+    return F.when(~t.isin("", "nan", "None", "NaN"), t)
+
+
+def without_empty(df: DataFrame) -> DataFrame:
+    """Text cells cleaned; rows and columns that are null throughout are left out.  One pass finds the columns."""
+    clean = df.select(*[clean_cell(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
+    some = clean.agg(*[F.bool_or(F.col(f"`{c}`").isNotNull()).alias(c) for c in clean.columns]).first()
+    kept = [c for c in clean.columns if some[c]]
+    return clean.select(*[F.col(f"`{c}`") for c in kept]).na.drop("all") if kept else clean.limit(0)

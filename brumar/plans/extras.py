@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brumar.common import table
 from brumar.functions import text as X
 from brumar.operators import forecast as P
+from brumar.operators import quality as Q
 from brumar.plans.forecasts import S, W, samples
 from brumar.plans.registry import query
 from brumar.plans.sensors import DAILY, DIM, READINGS, daily, dim
@@ -28,10 +29,22 @@ def path_labels(spark, d):
 @query(f"SELECT nullif(nullif(nullif(trim(Fenomen), ''), 'nan'), 'None') AS label, count(*) AS n FROM {READINGS} GROUP BY 1")
 def clean_cells(spark, d):
     """Blank cells and the words that stand for them become null."""
-    c = F.trim("Fenomen")
-    for word in ("", "nan", "None"):
-        c = F.nullif(c, F.lit(word))
-    return table(spark, d, READINGS).groupBy(c.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, READINGS).groupBy(Q.clean_cell(F.col("Fenomen")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT DISTINCT nullif(nullif(nullif(trim(Fenomen), ''), 'nan'), 'None') AS label, nullif(nullif(nullif(trim(Nop), ''), 'nan'), 'None') AS sky FROM {READINGS} WHERE nullif(nullif(nullif(trim(Fenomen), ''), 'nan'), 'None') IS NOT NULL OR nullif(nullif(nullif(trim(Nop), ''), 'nan'), 'None') IS NOT NULL")
+def without_empty(spark, d):
+    """A table of text cells without its empty rows and columns; the made-up column is all blank and goes."""
+    t = table(spark, d, READINGS).select(F.col("Fenomen").alias("label"), F.col("Nop").alias("sky"), F.lit(" ").alias("nothing"))
+    return Q.without_empty(t).distinct()
+
+
+@query("SELECT test_id FROM test_data_zero_shot WHERE split IS NOT NULL AND split NOT IN ('validare') AND (sursa IS NULL OR sursa NOT IN (SELECT sursa FROM test_data_zero_shot WHERE sursa IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, sursa LIMIT 1))")
+def exclusion_list(spark, d):
+    """Records outside two lists of what is left out: named splits, and the source with the most records."""
+    t = table(spark, d, "test_data_zero_shot")
+    most = t.where("sursa is not null").groupBy("sursa").count().orderBy(F.desc("count"), "sursa").limit(1).select("sursa")
+    return t.where(~F.col("split").isin("validare")).join(most, "sursa", "left_anti").select("test_id")
 
 
 @query(f"""WITH {DAILY}, {DIM}, c AS (SELECT parent, grp, strftime(day, '%Y-%m') AS month, avg((tmax + tmin) / 2) AS m FROM daily JOIN dim USING (entity) WHERE grp IS NOT NULL AND parent IS NOT NULL GROUP BY 1, 2, 3)

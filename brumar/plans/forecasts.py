@@ -68,6 +68,15 @@ def scaler_apply(spark, d):
     return s.join(z, ["entity", "fold"]).select("entity", "sample", F.round((F.element_at("x", -1) - F.col("mu")) / F.col("sigma"), 4).alias("scaled"))
 
 
+@query(f"WITH {S} SELECT s.entity, sample, round(x[{W}], 4) AS value FROM s JOIN (SELECT DISTINCT entity, fold FROM s WHERE fold > 0) k ON s.entity = k.entity AND s.fold = k.fold")
+def scaler_inverse(spark, d):
+    """Scaled and scaled back, the last input of every test sample is itself again."""
+    s = folded(spark, d)
+    z = P.fitted_scaler(s, "entity", "fold")
+    scaled = s.join(z, ["entity", "fold"]).withColumn("scaled", (F.element_at("x", -1) - F.col("mu")) / F.col("sigma"))
+    return scaled.select("entity", "sample", F.round(F.col("scaled") * F.col("sigma") + F.col("mu"), 4).alias("value"))
+
+
 def _metrics(spark, d, how):
     p = P.forecasts(folded(spark, d).where("fold > 0"), "entity", how)
     return P.errors(p, ["entity", "h", "fold"]).withColumns(r6("rmse", "mae"))

@@ -54,6 +54,15 @@ def stopword_filter(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(X.content_words(F.col("text")), " ").alias("content"))
 
 
+_GONE = ", ".join(f"'{w}'" for w in X.STOP_WORDS if w not in X.TIME_WORDS)
+
+
+@query(f"WITH p AS (SELECT doc_id, lower(trim(regexp_replace(translate(coalesce(text, ''), 'şŞţŢ', 'șȘțȚ'), '[\\s\\x{{85}}\\x{{0b}}\\x{{a0}}\\pZ]+', ' ', 'g'))) AS plain FROM documents) SELECT doc_id, plain, array_to_string(list_filter(string_split(plain, ' '), lambda w: NOT list_contains([{_GONE}], w)), ' ') AS filtered FROM p")
+def comparable_texts(spark, d):
+    """Both forms in which texts are compared: whole, and without function words but with words for time."""
+    return table(spark, d, "documents").select("doc_id", X.comparable(F.col("text"), None).alias("plain"), X.comparable(F.col("text")).alias("filtered"))
+
+
 PAIR = "p AS (SELECT diag_id, original_diagnosis AS a, concat_ws(' ', formatted_diagnosis.PRIMA_PROPOZITIE, formatted_diagnosis.A_DOUA_PROPOZITIE, formatted_diagnosis.A_TREIA_PROPOZITIE, formatted_diagnosis.A_PATRA_PROPOZITIE, formatted_diagnosis.PROPOZITIA_FINALA) AS b FROM formatted_diagnoses WHERE original_diagnosis IS NOT NULL AND formatted_diagnosis IS NOT NULL)"
 
 
