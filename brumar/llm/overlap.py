@@ -289,7 +289,7 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
     both = both.select("is_train", "id", seq.alias("seq"), digits.alias("digits"), F.when(F.size(seq) == 0, F.trim("text")).alias("bare"))
     c = F.unhex(F.md5(F.concat_ws(" ", F.coalesce("bare", "digits", F.lit("")), F.array_join(F.transform("seq", lambda x: x.cast("string")), " "))))
     rows = spread(both.select("is_train", "id", "seq", "digits", c.alias("c")), "c").persist(StorageLevel.MEMORY_AND_DISK)
-    classes = rows.groupBy("c").agg(F.first("seq").alias("seq"), F.first("digits").alias("digits"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_test"))
+    classes = rows.groupBy("c").agg(F.first("seq").alias("seq"), F.first("digits").alias("digits"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_test")).persist(StorageLevel.MEMORY_AND_DISK)
     same = classes.where("in_train and in_test").select(F.col("c").alias("c_train"), F.col("c").alias("c_test"), F.size("seq").alias("matched"), F.size("seq").alias("longest"), F.lit(1.0).alias("covered"))
     # tokens with at least 1 in 2 ** RARE of all, so at most 2 ** RARE of them
     tokens = classes.select(F.explode("seq").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
