@@ -73,6 +73,10 @@ _ANY_WORD, _STREET_WORD, _NUMBER_WORD = re.compile(rf"[{_L}][{_L}'’\-]*"), re.
 _ABBREVIATED, _NEW_SENTENCE, _NUMBER_FIRST = re.compile(r"^\P{L}*\p{L}+\.|\b(?:nr|bl|sc|ap|et)\.", re.I), re.compile(r"[.!?]\s+\p{Lu}"), re.compile(r"\d|nr", re.I)
 _DEGREE = re.compile(r"[°º˚\d]\s*$")  # what stands before it is a reading, so the letter is its unit and no initial
 _HEAD, _THEN = re.compile(r"[\w-]+"), re.compile(r"\s?[,;(]?\s?(?:tel|cnp|cod num|mobil|despre|si contra|domicil|-|\()")
+_TOKENS = re.compile(r"\w+")
+# The words of STREET and STREET_EN, and the last part of those with a hyphen.
+STREET_TOKENS = frozenset("strada str bulevardul bulevard bdul dul bd calea aleea al șoseaua şoseaua soseaua șos şos sos piața piaţa piata ța ţa ta intrarea intr splaiul spl drumul fundătura fundatura prelungirea".split())
+STREET_EN_TOKENS = frozenset("street st lane road rd avenue ave drive way court square terrace close place".split())
 #: characters between two entities within which one has a bearing on the next
 NEAR = 12
 
@@ -165,7 +169,9 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, str, tu
         got.append((m.start(), m.end(), "id_number", ("i_dated" if dated else "i_undated", "i_check" if check else "i_no_check", "i_both" if dated and check else "i_not_both", "i_call" if ID_WORDS.search(before(m.start())) else "i_no_call")))
     for m in _CARD.finditer(text):
         got.append((m.start(), m.end(), "id_number", ("c_card", "c_nr" if "r" in m.group().lower()[2:] else "c_direct", "c_call" if ID_WORDS.search(before(m.start())) else "c_no_call")))
-    for pattern, kind in ((_STREET, "ro"), (_STREET_ONLY, "first"), (_STREET_EN, "en")):
+    heard = set(_TOKENS.findall(text.lower()))  # most texts hold no street word at all
+    patterns = [(p, k) for p, k, w in ((_STREET, "ro", STREET_TOKENS), (_STREET_ONLY, "first", STREET_TOKENS), (_STREET_EN, "en", STREET_EN_TOKENS)) if not w.isdisjoint(heard)]
+    for pattern, kind in patterns:
         for m in pattern.finditer(text, overlapped=kind == "ro"):
             words = _ANY_WORD.findall(m.group())
             inner = [w for w in words if not _STREET_WORD.fullmatch(w)]
