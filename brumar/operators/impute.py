@@ -50,31 +50,35 @@ def _start(k: int, labels: int, counts: np.ndarray) -> dict[str, np.ndarray]:
 def _expect(p: dict[str, np.ndarray], x: np.ndarray, sky: np.ndarray, lab: np.ndarray, net: np.ndarray):
     """Responsibilities (n, k), conditional expectations (k, n, 3) and, by pattern of known fields, conditional covariances."""
     n, k = len(x), len(p["pi"])
-    logr = np.tile(np.log(p["pi"]), (n, 1))
+    logr = np.log(p["pi"]) + np.zeros((n, 1))
     for code, name in ((sky, "sky"), (lab, "lab"), (net, "net")):
-        known = code >= 0
-        logr[known] += np.log(p[name][:, code[known]]).T
-    full = np.zeros((k, n, 3))
+        logr += np.vstack([np.log(p[name]).T, np.zeros(k)])[code]  # an unknown code, -1, meets the zeros
+    full = np.empty((k, n, 3))
     pattern = (~np.isnan(x)) @ np.array([1, 2, 4])
     extra = np.zeros((8, k, 3, 3))
-    for bits in np.unique(pattern):
-        rows = pattern == bits
+    for bits in np.flatnonzero(np.bincount(pattern, minlength=8)):
+        rows = np.flatnonzero(pattern == bits)
         o = [j for j in range(3) if bits >> j & 1]
         m = [j for j in range(3) if not bits >> j & 1]
+        seen = x[rows][:, o]
         for i in range(k):
             mu, cov = p["mu"][i], p["cov"][i]
-            est = np.tile(mu, (rows.sum(), 1))
+            est = np.empty((len(rows), 3))
             if o:
-                diff = x[np.ix_(rows, o)] - mu[o]
-                inv = np.linalg.inv(cov[np.ix_(o, o)])
-                logr[rows, i] -= 0.5 * (((diff @ inv) * diff).sum(1) + np.linalg.slogdet(cov[np.ix_(o, o)])[1] + len(o) * np.log(2 * np.pi))
-                est[:, o] = x[np.ix_(rows, o)]
-                if m:
-                    gain = cov[np.ix_(m, o)] @ inv
-                    est[:, m] = mu[m] + diff @ gain.T
-                    extra[bits, i][np.ix_(m, m)] = cov[np.ix_(m, m)] - gain @ cov[np.ix_(o, m)]
-            else:
-                extra[bits, i] = cov
+                diff = seen - mu[o]
+                # squares of what the Cholesky factor makes independent
+                root = np.linalg.cholesky(np.linalg.inv(cov[np.ix_(o, o)]))
+                white = diff @ root
+                logr[rows, i] -= 0.5 * np.einsum("ij,ij->i", white, white) - np.log(np.diag(root)).sum() + 0.5 * len(o) * np.log(2 * np.pi)
+                est[:, o] = seen
+            if m:
+                est[:, m] = mu[m]
+                extra[bits, i] = 0.0
+                extra[bits, i][np.ix_(m, m)] = cov[np.ix_(m, m)]
+                if o:
+                    gain = cov[np.ix_(m, o)] @ np.linalg.inv(cov[np.ix_(o, o)])
+                    est[:, m] += diff @ gain.T
+                    extra[bits, i][np.ix_(m, m)] -= gain @ cov[np.ix_(o, m)]
             full[i, rows] = est
     top = logr.max(1, keepdims=True)
     r = np.exp(logr - top)
