@@ -90,8 +90,7 @@ def labelled(text: Column, label: str) -> Column:
     """The longest non-empty text behind a label, '-' counting as empty; null if there is none."""
     found = F.transform(F.regexp_extract_all(text, F.lit(label_pattern(label)), F.lit(1)), lambda s: F.trim(s))
     found = F.filter(found, lambda s: (s != "") & (s != "-"))
-    longest = F.array_max(F.transform(found, lambda s: F.length(s)))
-    return F.try_element_at(F.filter(found, lambda s: F.length(s) == longest), F.lit(1))
+    return F.array_max(F.transform(found, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]  # of equal ones the first
 
 
 def structured(text: Column) -> Column:
@@ -177,11 +176,17 @@ def point_distance(t: Column, low: Column, high: Column) -> Column:
     return F.when((t + low + high).isNotNull(), F.greatest(F.lit(0.0), low - t, t - high))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where it is used inside of lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def placed(text: Column, pattern: str) -> Column:
     """(start, hit) of every match of a pattern, from the lengths of the matches and of what lies between them."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    got = F.transform(hits, lambda h, k: F.struct((total(F.slice(gaps, 1, k + 1)) + total(F.slice(hits, 1, k))).alias("start"), h.alias("hit")))
+    one = lambda z, h, k: F.struct((total(F.slice(z["gaps"], 1, k + 1)) + total(F.slice(z["hits"], 1, k))).alias("start"), h.alias("hit"))
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern).alias("gaps"))
+    got = let(found, lambda z: F.transform(z["hits"], lambda h, k: one(z, h, k)))
     return F.when(text.isNotNull(), got).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
 
 

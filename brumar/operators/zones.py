@@ -75,17 +75,16 @@ def zones_of(text: Column, words: list[tuple[str, str, str]] | None = None) -> C
     """
     words = words or vocabulary()
     claim_order([p for p, _, _ in words])
-    plain = X.strip_accents(text)
     axis = F.create_map(*[F.lit(x) for p, a, _ in words for x in (p, a)])
     zone = F.create_map(*[F.lit(x) for p, _, z in words for x in (p, z)])
 
-    def one(m: Column) -> Column:
+    def one(plain: Column, m: Column) -> Column:
         before = F.substring(plain, F.greatest(m["start"] - LOOK_BACK, F.lit(0)) + 1, F.least(m["start"], F.lit(LOOK_BACK)))
-        side = F.coalesce(*[F.when(before.rlike(_whole([w])), F.lit(d)) for w, d in directions()])
-        side = F.when((axis[m["hit"]] != "climatic") & ~before.rlike(_whole(NEUTRAL)), side)
-        return F.struct(F.substring(text, m["start"] + 1, F.length(m["hit"])).alias("raw"), axis[m["hit"]].alias("axis"), zone[m["hit"]].alias("zone"), side.alias("cardinal"), m["start"].alias("start"))
+        side = X.let(before, lambda b: F.when(~b.rlike(_whole(NEUTRAL)), F.coalesce(*[F.when(b.rlike(_whole([w])), F.lit(d)) for w, d in directions()])))
+        return F.struct(F.substring(text, m["start"] + 1, F.length(m["hit"])).alias("raw"), axis[m["hit"]].alias("axis"), zone[m["hit"]].alias("zone"), F.when(axis[m["hit"]] != "climatic", side).alias("cardinal"), m["start"].alias("start"))
 
-    return F.transform(X.placed(plain, _whole([p for p, _, _ in words])), one)
+    pattern = _whole([p for p, _, _ in words])
+    return X.let(X.strip_accents(text), lambda plain: F.transform(X.placed(plain, pattern), lambda m: one(plain, m)))
 
 
 def predictions(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -167,11 +166,9 @@ def rewritten(text: Column) -> Column:
         X.one_space(X.strip_accents(z["q"])).alias("q"),
         X.snapped(z["a"].cast("double"), z["b"].cast("double"))["low"].cast("bigint").alias("x"),
     ))
-    xs = F.transform(cells, lambda c: c["x"])
-    low, high = F.array_min(xs), F.array_max(xs)
     s = lambda n: n.cast("string")
 
-    def word(c: Column) -> Column:
+    def word(c: Column, low: Column, high: Column) -> Column:
         return (
             F.when(c["q"].isin("sub", "de la") & (c["x"] == low), F.concat(c["q"], F.lit(" "), s(c["x"]), F.lit(" °C")))
             .when((c["q"] == "peste") & (c["x"] == high), F.concat(F.lit("peste "), s(c["x"] + 2), F.lit(" °C")))
@@ -179,8 +176,14 @@ def rewritten(text: Column) -> Column:
             .otherwise(F.concat(F.lit("intre "), s(c["x"]), F.lit(" si "), s(c["x"] + 2), F.lit(" °C")))
         )
 
-    said = F.transform(cells, word)
-    return F.when(F.size(said) > 0, F.array_join(F.transform(F.split(text, _QUALIFIED), lambda p, k: F.concat(p, F.coalesce(F.get(said, k), F.lit("")))), "")).otherwise(text)
+    def said(cs: Column) -> Column:
+        ends = F.struct(F.array_min(F.transform(cs, lambda c: c["x"])).alias("low"), F.array_max(F.transform(cs, lambda c: c["x"])).alias("high"))
+        return X.let(ends, lambda e: F.transform(cs, lambda c: word(c, e["low"], e["high"])))
+
+    def joined(words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.array_join(F.transform(F.split(text, _QUALIFIED), lambda p, k: F.concat(p, F.coalesce(F.get(words, k), F.lit("")))), "")).otherwise(text)
+
+    return X.let(cells, lambda cs: X.let(said(cs), joined))
 
 
 def interval_score(truth: DataFrame, pred: DataFrame, value: DataFrame, by: list[str], width: float = 2.0) -> DataFrame:
