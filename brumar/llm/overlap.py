@@ -16,8 +16,12 @@ done for the sequence in the order of two hashes of its tokens, where other toke
 Spans are merged, over all orders, into the tokens of each record that are covered.  Coverage decides:
 a pair needs ``covered`` of the longer sequence, on either side.  An exact count of common tokens follows, which only takes away.
 
-A part in which training and evaluation suffixes would give more than ``HOT`` pairs a suffix, or with
-more than ``MOST`` suffixes, is not paired.  Its classes go on by pairs of their rarest tokens, as in joins by prefix filter: sequences
+Suffixes are moved once, packed by bucket of their part, each with the length of its sequence and 64 bits that its tokens set.
+A pair of suffixes whose bits differ so much that their sequences can't have enough tokens in common ends in its part, and only
+suffixes with a partner left go on to be sorted; so what goes on grows with the pairs that are found and not with chance ones.
+
+A part in which the training and evaluation suffixes left would give more than ``HOT`` pairs a suffix, or one of more pairs than
+``MOST`` suffixes can give, is not walked.  Its classes go on by pairs of their rarest tokens, as in joins by prefix filter: sequences
 that have at least ``share_inside`` of the longer one in common share at least two of the first
 n - share_inside * n + 2 tokens in any fixed order.  So no pair is lost and no frequent stretch multiplies out.
 
@@ -39,7 +43,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brumar.common import spread
+from brumar.common import join_small, spread
 
 #: a number with decimals that is no part of a date
 READING = r"(?:(?<!\w)[-−])?(?<!\d)(?<!\d[.,])\d+[.,]\d{1,2}(?![.,]?\d)"
@@ -53,6 +57,8 @@ BESIDES = 50_000
 SHUFFLED, SHUFFLED_BRIEF, BRIEF = 1, 3, 12
 #: pairs a suffix, and suffixes, above which a part is split otherwise
 HOT, MOST = 32, 4096
+#: times a key may come in a batch of rows to be moved suffix by suffix; suffixes that one task sorts; length that stands for all longer ones
+OFTEN, SUFFIXES, MANY = 256, 1_000_000, 255
 #: tokens of a suffix that the walk compares; spans that go on are taken up again every STEP tokens
 REACH, STEP = 64, 32
 #: sequences up to LONG tokens are split by pairs of rare tokens, from SHORT on by single ones (either holds for all lengths that can match)
@@ -134,34 +140,173 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(length)), length)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], weights: Weights, bits: float) -> Iterator[pa.RecordBatch]:
-    """(key, view, at, c, in_train, in_test) of every suffix; ``at`` counts from 1."""
+def signatures(tokens: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """64 bits for each sequence, of which each of its tokens sets one."""
+    out = np.zeros(n_rows, np.uint64)
+    np.bitwise_or.at(out, row, np.uint64(1) << (_mix(tokens, 5) >> np.uint64(58)))
+    return out
+
+
+def plausible(n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray, share: float, share_inside: float) -> np.ndarray:
+    """Whether sequences of these lengths and signatures may have enough tokens in common; false only where they have not.
+
+    A bit that one signature has and the other lacks is at least one token without its like.  Lengths from ``MANY`` on may stand for any longer one.
+    """
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
+    longest, shorter = np.maximum(n_a, n_b), np.minimum(n_a, n_b)
+    most = np.minimum(n_a - np.bitwise_count(s_a & ~s_b), n_b - np.bitwise_count(s_b & ~s_a))
+    inside = shorter >= share_inside * longest - 1e-9
+    return inside & ((most >= share * longest - 1e-9) | (most >= shorter)) | (longest >= MANY)
+
+
+def _suffixes(b: pa.RecordBatch, weights: Weights, bits: float) -> tuple[np.ndarray, ...]:
+    """(row of the batch, key, view, at, signature, length) of every suffix of a batch; ``at`` counts from 1."""
+    tokens, row = _flat(b)
+    first = np.searchsorted(row, np.arange(b.num_rows))
+    length = np.bincount(row, minlength=b.num_rows)
+    got = []
+    for view, order in enumerate(orders(tokens, row)):
+        at, _, key = beginnings(tokens[order], row, weights, bits)
+        keep = used(view, length[row[at]])
+        at, key = at[keep], key[keep]
+        with np.errstate(over="ignore"):
+            got.append((row[at], key.view(np.uint64) + np.uint64(view), np.full(len(at), view), at - first[row[at]] + 1))
+    of, key, view, at = (np.concatenate(x) for x in zip(*got))
+    return of, key, view, at, signatures(tokens, row, b.num_rows)[of], length[of]
+
+
+PACKED = "bucket int, base bigint, n int, key binary, sign binary, off binary, place binary, length binary, often binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch], weights: Weights, bits: float, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes of a batch by bucket of their keys, a column of bytes for each value, as they are most of what is moved.
+
+    ``often`` has the keys that a batch has more than ``OFTEN`` times, and their sides; these suffixes are not moved.
+    """
     for b in batches:
-        tokens, row = _flat(b)
-        first = np.searchsorted(row, np.arange(b.num_rows))
-        length = np.bincount(row, minlength=b.num_rows)
-        for view, order in enumerate(orders(tokens, row)):
-            at, _, key = beginnings(tokens[order], row, weights, bits)
-            keep = used(view, length[row[at]])
-            at, key = at[keep], key[keep]
-            of = row[at]
-            take = b.take(pa.array(of)).select(["c", "in_train", "in_test"])
-            with np.errstate(over="ignore"):
-                key = key + np.int64(view)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), view, np.int32)), pa.array((at - first[of] + 1).astype(np.int32)), *take.columns], ["key", "view", "at", "c", "in_train", "in_test"])
+        of, key, view, at, sign, length = _suffixes(b, weights, bits)
+        if not len(of):
+            continue
+        c, side = b.column(b.schema.get_field_index("c")).to_numpy(), np.zeros(b.num_rows, np.int64)
+        for bit, name in ((2, "in_train"), (1, "in_test")):
+            side += bit * b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+        bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        names, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        many = count[inverse] > OFTEN
+        place = (at << 4) | (view << 2) | side[of]
+        out = []
+        for frequent in (True, False):
+            rows = np.flatnonzero(many == frequent)
+            rows = rows[np.argsort(bucket[rows], kind="stable")]
+            cuts = np.flatnonzero(np.diff(bucket[rows])) + 1
+            for r in np.split(rows, cuts) if len(rows) else []:
+                k = int(bucket[r[0]])
+                if frequent:
+                    name, at_name = np.unique(key[r], return_inverse=True)
+                    sides = np.zeros(len(name), np.uint64)
+                    np.bitwise_or.at(sides, at_name, side[of[r]].astype(np.uint64))
+                    out.append((k, 0, 0, b"", b"", b"", b"", b"", np.concatenate([name, sides]).tobytes()))
+                    continue
+                base = int(c[of[r]].min())
+                off = c[of[r]] - base
+                fit = lambda x: x.astype(np.uint16 if x.max() < 2**16 else np.int64).tobytes()
+                out.append((k, base, len(r), key[r].tobytes(), sign[r].tobytes(), fit(off), fit(place[r]), np.minimum(length[r], MANY).astype(np.uint8).tobytes(), b""))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], [x.split()[0] for x in PACKED.split(", ")])
+
+
+PARTED = "hot boolean, key bigint, c bigint, view int, at int, in_train boolean, in_test boolean"
+
+
+def _parted(batches: Iterator[pa.RecordBatch], share: float, share_inside: float) -> Iterator[pa.RecordBatch]:
+    """The suffixes that have a plausible partner in their part, for whole parts; of hot parts only the classes, or the key if there are too many."""
+    got: list[list[np.ndarray]] = [[], [], [], [], []]
+    often: dict[int, int] = {}
+    read = lambda x, n: np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.int64).astype(np.int64)
+    for b in batches:
+        for base, n, key, sign, off, place, length, frequent in zip(*(col.to_pylist() for col in b.columns[1:])):
+            if frequent:
+                names, sides = np.split(np.frombuffer(frequent, np.uint64), 2)
+                for k, s in zip(names.tolist(), sides.tolist()):
+                    often[k] = often.get(k, 0) | s
+            else:
+                for to, x in zip(got, (np.frombuffer(key, np.uint64), np.frombuffer(sign, np.uint64), read(off, n) + base, read(place, n), np.frombuffer(length, np.uint8))):
+                    to.append(x)
+
+    def rows(hot: bool, key=None, c=None, place=None) -> pa.RecordBatch:
+        n = len(key if key is not None else c)
+        of = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x).cast(t)
+        place = [None] * 4 if place is None else [(place >> 2) & 3, place >> 4, (place & 2) > 0, (place & 1) > 0]
+        cols = [pa.array(np.full(n, hot)), of(None if key is None else key.view(np.int64), pa.int64()), of(c, pa.int64()), of(place[0], pa.int32()), of(place[1], pa.int32()), of(place[2], pa.bool_()), of(place[3], pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in PARTED.split(", ")])
+
+    if not got[0]:
+        both = [k for k, s in often.items() if s == 3]
+        if both:
+            yield rows(True, key=np.array(both, np.uint64))
+        return
+    key = np.concatenate(got[0])
+    order = np.argsort(key, kind="stable")
+    key, sign, c, place, length = (np.concatenate(x)[order] for x in got)
+    got.clear()
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    train, test = (place & 2) > 0, (place & 1) > 0
+    nt, ne = np.add.reduceat(train.astype(np.int64), start), np.add.reduceat(test.astype(np.int64), start)
+    live = (nt > 0) & (ne > 0) & (np.minimum.reduceat(c, start) < np.maximum.reduceat(c, start))
+    names = key[start]
+    for k, s in often.items():  # those of other batches count too
+        i = int(np.searchsorted(names, np.uint64(k)))
+        if i < len(names) and int(names[i]) == k:
+            often[k], live[i] = s | 2 * int(nt[i] > 0) | int(ne[i] > 0), False
+    big = live & (nt * ne > MOST * MOST // 4)
+    too_many = np.concatenate([names[big], np.array([k for k, s in often.items() if s == 3], np.uint64)])
+    if len(too_many):
+        yield rows(True, key=too_many)
+    live &= ~big
+    # all pairs of the parts that are left, some millions at a time; a pair that can't have enough in common ends here
+    of_train, of_test = np.flatnonzero(train), np.flatnonzero(test)
+    first_t, first_e = np.cumsum(nt) - nt, np.cumsum(ne) - ne
+    parts = np.flatnonzero(live)
+    pairs = nt[parts] * ne[parts]
+    block = np.cumsum(pairs) // (MOST * MOST // 4)
+    for g in np.split(parts, np.flatnonzero(np.diff(block)) + 1) if len(parts) else []:
+        n = nt[g] * ne[g]
+        in_part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(ne[g], n)
+        a, e = of_train[np.repeat(first_t[g], n) + in_part // wide], of_test[np.repeat(first_e[g], n) + in_part % wide]
+        ok = (c[a] != c[e]) & plausible(length[a], sign[a], length[e], sign[e], share, share_inside)
+        kept = np.unique(np.concatenate([a[ok], e[ok]]))
+        if not len(kept):
+            continue
+        t, e = (np.bincount(group[kept], x[kept], minlength=len(start)) for x in (train, test))
+        hot = (t * e > HOT * (t + e))[group[kept]]
+        if hot.any():
+            yield rows(True, c=np.unique(c[kept[hot]]))
+        yield rows(False, key=key[kept[~hot]], c=c[kept[~hot]], place=place[kept[~hot]])
+
+
+def _within(batches: Iterator[pa.RecordBatch], weights: Weights, bits: float) -> Iterator[pa.RecordBatch]:
+    """(key, c) of every suffix."""
+    for b in batches:
+        of, key, *_ = _suffixes(b, weights, bits)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(b.schema.get_field_index("c")).take(pa.array(of))], ["key", "c"])
 
 
-def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, view, tokens) of every sequence in every order."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For suffixes with their sequences: the token before each, its first tokens in its order, the length of the sequence."""
     for b in batches:
         tokens, row = _flat(b)
-        off = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
-        for view, order in enumerate(orders(tokens, row)):
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("c")), pa.array(np.full(b.num_rows, view, np.int32)), pa.ListArray.from_arrays(off, pa.array(tokens[order]))], ["c", "view", "tokens"])
+        first = np.searchsorted(row, np.arange(b.num_rows + 1))
+        in_order = [tokens[o] for o in orders(tokens, row)]
+        view, at = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("view", "at"))
+        before = [int(in_order[v][i + k - 2]) if k > 1 else None for v, k, i in zip(view, at, first)]
+        suffix = [in_order[v][i + k - 1 : min(i + k - 1 + REACH, j)] for v, k, i, j in zip(view, at, first, first[1:])]
+        yield pa.RecordBatch.from_arrays([*b.select(["key", "c", "in_train", "in_test", "view", "at"]).columns, pa.array(before, pa.int64()), pa.array(suffix, pa.list_(pa.int64())), pa.array(np.diff(first).astype(np.int32))], ["key", "c", "in_train", "in_test", "view", "at", "before", "suffix", "n"])
 
 
 def _rare(batches: Iterator[pa.RecordBatch], weights: Weights, share: float) -> Iterator[pa.RecordBatch]:
-    """(key, c, in_train, in_test) for pairs of the rarest tokens of each sequence, or single ones of long sequences."""
+    """(key, c, in_train, in_test, signature, length) for pairs of the rarest tokens of each sequence, or single ones of long sequences."""
     for b in batches:
         tokens, row = _flat(b)
         keys, of = [], []
@@ -189,8 +334,10 @@ def _rare(batches: Iterator[pa.RecordBatch], weights: Weights, share: float) ->
                     keys.append(_mix(head, 9))
                     of.append(np.full(len(head), i))
         if keys:
-            take = b.take(pa.array(np.concatenate(of))).select(["c", "in_train", "in_test"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *take.columns], ["key", "c", "in_train", "in_test"])
+            of = np.concatenate(of)
+            take = b.take(pa.array(of)).select(["c", "in_train", "in_test"])
+            sign, length = signatures(tokens, row, b.num_rows)[of], np.bincount(row, minlength=b.num_rows)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *take.columns, pa.array(sign.view(np.int64)), pa.array(length.astype(np.int32))], ["key", "c", "in_train", "in_test", "sign", "n"])
 
 
 def common_prefixes(rows: list[list[int]]) -> list[int]:
@@ -289,42 +436,49 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
     both = both.select("is_train", "id", seq.alias("seq"), digits.alias("digits"), F.when(F.size(seq) == 0, F.trim("text")).alias("bare"))
     c = F.unhex(F.md5(F.concat_ws(" ", F.coalesce("bare", "digits", F.lit("")), F.array_join(F.transform("seq", lambda x: x.cast("string")), " "))))
     rows = spread(both.select("is_train", "id", "seq", "digits", c.alias("c")), "c").persist(StorageLevel.MEMORY_AND_DISK)
-    classes = rows.groupBy("c").agg(F.first("seq").alias("seq"), F.first("digits").alias("digits"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = rows.groupBy("c").agg(F.first("seq").alias("seq"), F.first("digits").alias("digits"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_test"))
+    # numbers of classes are a third of their hashes; sorted first, so that a part that is lost gets the same numbers again
+    classes = classes.sortWithinPartitions("c").withColumn("number", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     same = classes.where("in_train and in_test").select(F.col("c").alias("c_train"), F.col("c").alias("c_test"), F.size("seq").alias("matched"), F.size("seq").alias("longest"), F.lit(1.0).alias("covered"))
     # tokens with at least 1 in 2 ** RARE of all, so at most 2 ** RARE of them
     tokens = classes.select(F.explode("seq").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     all_tokens = (tokens.agg(F.sum("n")).first()[0] or 0) + BESIDES
     weights = Weights({r["t"]: r["n"] / all_tokens for r in tokens.where(F.col("n") > all_tokens / 2**RARE).collect()})
 
-    plain = classes.where(F.size("seq") > 0).select("c", "in_train", "in_test", "seq")
-    flags = "c binary, in_train boolean, in_test boolean"
-    suffixes = plain.mapInArrow(lambda b: _suffixes(b, weights, bits), f"key bigint, view int, at int, {flags}")
-
-    def of_both(df: DataFrame) -> DataFrame:
-        """Keys with both sides and two classes; counted before rows move, so a frequent key is one row a task."""
-        n = df.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_test").alias("ne"), F.min(F.xxhash64("c")).alias("c0"), F.max(F.xxhash64("c")).alias("c1"))
-        return n.where("nt > 0 and ne > 0 and c0 <> c1").select("key", ((F.col("nt") * F.col("ne") > HOT * (F.col("nt") + F.col("ne"))) | (F.col("nt") + F.col("ne") > MOST)).alias("hot"))
-
-    parts = suffixes.join(of_both(suffixes), "key").persist(StorageLevel.MEMORY_AND_DISK)
-    views = plain.mapInArrow(_views, "c binary, view int, tokens array<bigint>")
+    plain = classes.where(F.size("seq") > 0).select(F.col("number").alias("c"), "in_train", "in_test", "seq")
+    least = min(share, share_words)
+    buckets = min(2**15, max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * all_tokens // SUFFIXES))
+    packed = plain.mapInArrow(lambda b: _packed(b, weights, bits, buckets), PACKED).repartition(buckets, "bucket")
+    parts = packed.mapInArrow(lambda b: _parted(b, least, share_inside), PARTED).persist(StorageLevel.MEMORY_AND_DISK)
     found = (
         parts.where("not hot")
-        .join(views, ["c", "view"])
-        .select("key", "c", "in_train", "in_test", "view", "at", F.when(F.col("at") > 1, F.element_at("tokens", F.col("at") - 1)).alias("before"), F.slice("tokens", F.col("at"), REACH).alias("suffix"), F.size("tokens").alias("n"))
+        .select("key", "c", "view", "at", "in_train", "in_test")
+        .join(plain.select("c", "seq"), "c")
+        .mapInArrow(_cut, "key bigint, c bigint, in_train boolean, in_test boolean, view int, at int, before bigint, suffix array<bigint>, n int")
         .repartition("key")
         .sortWithinPartitions("key", "suffix")
-        .mapInPandas(_walk, "c_train binary, c_test binary, view int, at_train int, at_test int, span int, longest int")
+        .mapInPandas(_walk, "c_train bigint, c_test bigint, view int, at_train int, at_test int, span int, longest int")
     )
     # tokens of all spans together are the most that can be covered, so pairs that share one stretch by chance end here
     merged = found.groupBy("c_train", "c_test").agg(F.collect_list(F.struct("view", "at_train", "at_test", "span")).alias("spans"), F.sum("span").alias("most"), F.max("longest").alias("longest"))
     merged = merged.where(F.col("most") >= covered * F.col("longest")).select("c_train", "c_test", "spans")
     # parts that would multiply out: by pairs of rare tokens
-    hot = plain.join(parts.where("hot").select("c").distinct(), "c", "left_semi")
-    rare = hot.mapInArrow(lambda b: _rare(b, weights, share_inside), f"key bigint, {flags}")
-    rare = rare.join(of_both(rare).select("key"), "key")
-    one, two = rare.where("in_train").select("key", F.col("c").alias("c_train")), rare.where("in_test").select("key", F.col("c").alias("c_test"))
-    split = one.join(two, "key").where("c_train <> c_test").select("c_train", "c_test").distinct()
-    cand = merged.unionByName(split.withColumn("spans", F.lit(None).cast("array<struct<view:int,at_train:int,at_test:int,span:int>>")))
+    cand = merged
+    if parts.where("hot").limit(1).count():
+        classes_of = parts.where("hot and c is not null").select("c")
+        keys = parts.where("hot and c is null").select("key")
+        if keys.limit(1).count():
+            within = plain.mapInArrow(lambda b: _within(b, weights, bits), "key bigint, c bigint")
+            classes_of = classes_of.unionByName(join_small(within, keys, ["key"], "left_semi").select("c"))
+        hot = join_small(plain, classes_of.distinct(), ["c"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        rare = hot.mapInArrow(lambda b: _rare(b, weights, share_inside), "key bigint, c bigint, in_train boolean, in_test boolean, sign bigint, n int")
+        n = rare.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_test").alias("ne"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        rare = rare.join(n.where("nt > 0 and ne > 0 and c0 <> c1").select("key"), "key")  # counted before rows move
+        one, two = (rare.where(side).select("key", F.col("c").alias(f"c_{x}"), F.col("sign").alias(f"s_{x}"), F.col("n").alias(f"n_{x}")) for side, x in (("in_train", "train"), ("in_test", "test")))
+        most = F.least(F.expr("n_train - bit_count(s_train & ~s_test)"), F.expr("n_test - bit_count(s_test & ~s_train)"))  # as in ``plausible``
+        shorter, longer = F.least("n_train", "n_test"), F.greatest("n_train", "n_test")
+        split = one.join(two, "key").where("c_train <> c_test").where(shorter >= share_inside * longer - 1e-9).where((most >= least * longer - 1e-9) | (most >= shorter))
+        cand = merged.unionByName(split.select("c_train", "c_test").distinct().withColumn("spans", F.lit(None).cast("array<struct<view:int,at_train:int,at_test:int,span:int>>")))
     cand = cand.groupBy("c_train", "c_test").agg(F.max_by("spans", F.col("spans").isNull()).alias("spans"))  # without spans: all are looked for again
 
     @F.pandas_udf("matched int, on_train int, on_test int")
@@ -332,14 +486,16 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
         out = []
         for x, y, s in zip(a, b, spans):
             m = sum((Counter(x.tolist()) & Counter(y.tolist())).values())
-            out.append((m, *(covered_tokens(x, y, weights, bits) if s is None else _merged(s, x, y))))
+            if m < min(share, share_words, share_inside) * max(len(x), len(y)):
+                out.append((m, 0, 0))  # too few, however they lie
+            else:
+                out.append((m, *(covered_tokens(x, y, weights, bits) if s is None else _merged(s, x, y))))
         return pd.DataFrame(out, columns=["matched", "on_train", "on_test"])
 
-    a = classes.select(F.col("c").alias("c_train"), F.col("seq").alias("s_train"), F.col("digits").alias("d_train"))
-    b = classes.select(F.col("c").alias("c_test"), F.col("seq").alias("s_test"), F.col("digits").alias("d_test"))
+    a, b = (classes.select(F.col("number").alias(f"c_{x}"), F.col("c").alias(f"name_{x}"), F.col("seq").alias(f"s_{x}"), F.col("digits").alias(f"d_{x}")) for x in ("train", "test"))
     longer, shorter = F.greatest(F.size("s_train"), F.size("s_test")), F.least(F.size("s_train"), F.size("s_test"))
     scored = cand.join(a, "c_train").join(b, "c_test").where(F.col("d_train").eqNullSafe(F.col("d_test"))).where(shorter >= share_inside * longer).withColumn("s", score("s_train", "s_test", "spans"))
-    near = scored.select("c_train", "c_test", "d_test", "s.matched", longer.alias("longest"), shorter.alias("shorter"), (F.least("s.on_train", "s.on_test") / longer).alias("covered"))
+    near = scored.select(F.col("name_train").alias("c_train"), F.col("name_test").alias("c_test"), "d_test", "s.matched", longer.alias("longest"), shorter.alias("shorter"), (F.least("s.on_train", "s.on_test") / longer).alias("covered"))
     enough = (F.col("matched") >= F.when(F.col("d_test").isNotNull(), share_words).otherwise(share) * F.col("longest")) | ((F.col("matched") == F.col("shorter")) & (F.col("matched") >= share_inside * F.col("longest")))
     near = near.where(F.col("covered") >= covered).where(enough).select("c_train", "c_test", "matched", "longest", "covered")
     return rows.select("is_train", "id", "c"), same.unionByName(near)

@@ -286,6 +286,51 @@ def test_a_stretch_that_all_prompts_share_gives_no_pairs(spark):
     assert np.unique(key, return_counts=True)[1].max() < 40
 
 
+def shuffled_bytes(spark):
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_suffixes_are_moved_once_and_packed(spark):
+    r = random.Random(12)
+    rows = lambda first, n: [(first + i, prompt([f"{r.randint(-150, 360) / 10:.1f}" for _ in range(12)])) for i in range(n)]
+    train, test = rows(0, 3000), rows(10_000, 1500)
+    test[0] = (10_000, train[5][1].replace("2020-01-02", "7.8.2021"))
+    before = shuffled_bytes(spark)
+    assert pairs_of(spark, train, test) == {(5, 10_000)}
+    assert shuffled_bytes(spark) - before < 800 * len(train + test)
+
+
+def test_parts_end_only_pairs_that_have_too_little_in_common(monkeypatch):
+    r = random.Random(13)
+    seqs = [[r.randint(1, 60) for _ in range(r.choice([8, 12, 20]))] for _ in range(300)]
+    seqs += [s[:-2] + [r.randint(1, 60) for _ in range(r.randint(0, 3))] for s in seqs] + [list(range(400)), list(range(380))]
+    batch = pa.RecordBatch.from_pydict({"c": [7 * i for i in range(len(seqs))], "in_train": [i % 5 > 0 for i in range(len(seqs))], "in_test": [i % 3 == 0 for i in range(len(seqs))], "seq": seqs})
+    w = overlap.Weights({})
+    of, key, view, at, *_ = overlap._suffixes(batch, w, overlap.BITS)
+    enough = set()
+    parts = {}
+    for i, k in zip(of.tolist(), key.view(np.int64).tolist()):
+        parts.setdefault(k, set()).add(i)
+    for k, members in parts.items():
+        for i, j in itertools.permutations(members, 2):
+            m, longest = sum((Counter(seqs[i]) & Counter(seqs[j])).values()), max(len(seqs[i]), len(seqs[j]))
+            if i % 5 > 0 and j % 3 == 0 and (m >= 0.7 * longest or m == min(len(seqs[i]), len(seqs[j])) and m >= 0.6 * longest):
+                enough |= {(k, 7 * i), (k, 7 * j)}
+    run = lambda: [x for b in overlap._parted(overlap._packed(iter([batch.slice(0, 250), batch.slice(250)]), w, overlap.BITS, 3), 0.7, 0.6) for x in b.select(["hot", "key", "c", "view", "at"]).to_pylist()]
+    got = run()
+    assert not any(x["hot"] for x in got) and enough and {(x["key"], x["c"]) for x in got} >= enough
+    assert {(x["key"], x["c"], x["view"], x["at"]) for x in got} <= set(zip(key.view(np.int64).tolist(), (7 * of).tolist(), view.tolist(), at.tolist()))
+    assert len(got) < 0.75 * len(key)
+    # keys that come too often are named and not moved, and nothing gets lost
+    monkeypatch.setattr(overlap, "OFTEN", 1)
+    got = run()
+    named = {x["key"] for x in got if x["hot"]}
+    assert named and {(x["key"], x["c"]) for x in got} | {(k, c) for k, c in enough if k in named} >= enough
+
+
 def test_prompts_without_readings_go_by_their_words(spark):
     a = "Descrie pe scurt vremea din municipiul București pentru cititorii de azi, folosind datele de la cele 12 stații"
     train = [(1, a), (2, "???"), (3, "Scrie altceva despre munte și despre mare, fără nicio cifră"), (4, None)]
