@@ -420,6 +420,26 @@ def test_the_label_model_decides():
     assert any((post[v] > 0.01) != t for v, t in zip(got, truth))
 
 
+def test_cutoffs_come_from_all_rows(spark, monkeypatch):
+    """Each row with an answer is labelled as it is and with every kind of defect planted, however many rows there are."""
+    rows = [(i, [("user", PROMPT), ("assistant", SOUND.replace("13.7", f"{i % 40}.{i // 40}"))]) for i in range(400)] + [(400, [("user", PROMPT)])]
+    seen = {}
+    real = defects.chosen_cutoff
+
+    def chosen(bad, good, *n):
+        seen[len(seen)] = [sum(x) for x in n] or [len(bad), len(good)]
+        return real(bad, good, *n)
+
+    monkeypatch.setattr(defects, "chosen_cutoff", chosen)
+    df = spark.createDataFrame(rows, "train_id bigint, messages array<struct<role:string,content:string>>")
+    got = {(x["train_id"], x["defect"]) for x in defects.judged(df, "train_id", "messages").collect()}
+    assert got == {(400, "empty")}
+    assert list(seen.values()) == [[400, 400 * 5]] * 5
+    # patterns with counts give the cutoff of the rows one by one
+    bad, good = np.array([0.9, 0.6, 0.6, 0.2]), np.array([0.1, 0.1, 0.4, 0.7])
+    assert defects.chosen_cutoff(np.array([0.9, 0.6, 0.2]), np.array([0.1, 0.4, 0.7]), [1, 2, 1], [2, 1, 1]) == defects.chosen_cutoff(bad, good)
+
+
 def test_a_record_keeps_several_defects(spark):
     long_no = "I'm sorry, but I cannot help with this request for the city. As an AI language model I am not able to write a weather report for the day that was given. Unfortunately I cannot do so at all, and I must decline to write it. Please contact another service for this request."
     rows = [(str(i), [("user", PROMPT), ("assistant", SOUND.replace("13.7", f"{i}.3"))]) for i in range(200)]
