@@ -160,7 +160,10 @@ def plausible(n_a: np.ndarray, s_a: np.ndarray, n_b: np.ndarray, s_b: np.ndarray
 
 
 def _suffixes(b: pa.RecordBatch, weights: Weights, bits: float) -> tuple[np.ndarray, ...]:
-    """(row of the batch, key, view, at, signature, length) of every suffix of a batch; ``at`` counts from 1."""
+    """(row of the batch, key of 48 bits, view, at, signature, length) of every suffix of a batch; ``at`` counts from 1.
+
+    Suffixes that share a key by chance are told apart by the walk, which compares their tokens.
+    """
     tokens, row = _flat(b)
     first = np.searchsorted(row, np.arange(b.num_rows))
     length = np.bincount(row, minlength=b.num_rows)
@@ -170,7 +173,7 @@ def _suffixes(b: pa.RecordBatch, weights: Weights, bits: float) -> tuple[np.ndar
         keep = used(view, length[row[at]])
         at, key = at[keep], key[keep]
         with np.errstate(over="ignore"):
-            got.append((row[at], key.view(np.uint64) + np.uint64(view), np.full(len(at), view), at - first[row[at]] + 1))
+            got.append((row[at], _mix(key, view) >> np.uint64(16), np.full(len(at), view), at - first[row[at]] + 1))
     of, key, view, at = (np.concatenate(x) for x in zip(*got))
     return of, key, view, at, signatures(tokens, row, b.num_rows)[of], length[of]
 
@@ -190,7 +193,7 @@ def _packed(batches: Iterator[pa.RecordBatch], weights: Weights, bits: float, bu
         c, side = b.column(b.schema.get_field_index("c")).to_numpy(), np.zeros(b.num_rows, np.int64)
         for bit, name in ((2, "in_train"), (1, "in_test")):
             side += bit * b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-        bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        bucket = ((_mix(key, 11) >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
         names, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         many = count[inverse] > OFTEN
         place = (at << 4) | (view << 2) | side[of]
@@ -210,7 +213,7 @@ def _packed(batches: Iterator[pa.RecordBatch], weights: Weights, bits: float, bu
                 base = int(c[of[r]].min())
                 off = c[of[r]] - base
                 fit = lambda x: x.astype(np.uint16 if x.max() < 2**16 else np.int64).tobytes()
-                out.append((k, base, len(r), key[r].tobytes(), sign[r].tobytes(), fit(off), fit(place[r]), np.minimum(length[r], MANY).astype(np.uint8).tobytes(), b""))
+                out.append((k, base, len(r), key[r].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), sign[r].tobytes(), fit(off), fit(place[r]), np.minimum(length[r], MANY).astype(np.uint8).tobytes(), b""))
         kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], [x.split()[0] for x in PACKED.split(", ")])
 
@@ -230,7 +233,9 @@ def _parted(batches: Iterator[pa.RecordBatch], share: float, share_inside: float
                 for k, s in zip(names.tolist(), sides.tolist()):
                     often[k] = often.get(k, 0) | s
             else:
-                for to, x in zip(got, (np.frombuffer(key, np.uint64), np.frombuffer(sign, np.uint64), read(off, n) + base, read(place, n), np.frombuffer(length, np.uint8))):
+                whole = np.zeros((n, 8), np.uint8)
+                whole[:, :6] = np.frombuffer(key, np.uint8).reshape(n, 6)
+                for to, x in zip(got, (whole.view(np.uint64)[:, 0], np.frombuffer(sign, np.uint64), read(off, n) + base, read(place, n), np.frombuffer(length, np.uint8))):
                     to.append(x)
 
     def rows(hot: bool, key=None, c=None, place=None) -> pa.RecordBatch:
@@ -450,10 +455,20 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
     buckets = min(2**15, max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * all_tokens // SUFFIXES))
     packed = plain.mapInArrow(lambda b: _packed(b, weights, bits, buckets), PACKED).repartition(buckets, "bucket")
     parts = packed.mapInArrow(lambda b: _parted(b, least, share_inside), PARTED).persist(StorageLevel.MEMORY_AND_DISK)
+    # classes with a plausible partner; no others go on
+    going = parts.where("c is not null").select("c")
+    keys = parts.where("c is null").select("key")
+    if keys.limit(1).count():
+        within = plain.mapInArrow(lambda b: _within(b, weights, bits), "key bigint, c bigint")
+        of_keys = join_small(within, keys, ["key"], "left_semi").select("c").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        going = going.unionByName(of_keys)
+    else:
+        of_keys = None
+    going = join_small(classes.withColumnRenamed("c", "name").withColumnRenamed("number", "c"), going.distinct(), ["c"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     found = (
         parts.where("not hot")
         .select("key", "c", "view", "at", "in_train", "in_test")
-        .join(plain.select("c", "seq"), "c")
+        .join(going.select("c", "seq"), "c")
         .mapInArrow(_cut, "key bigint, c bigint, in_train boolean, in_test boolean, view int, at int, before bigint, suffix array<bigint>, n int")
         .repartition("key")
         .sortWithinPartitions("key", "suffix")
@@ -466,11 +481,8 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
     cand = merged
     if parts.where("hot").limit(1).count():
         classes_of = parts.where("hot and c is not null").select("c")
-        keys = parts.where("hot and c is null").select("key")
-        if keys.limit(1).count():
-            within = plain.mapInArrow(lambda b: _within(b, weights, bits), "key bigint, c bigint")
-            classes_of = classes_of.unionByName(join_small(within, keys, ["key"], "left_semi").select("c"))
-        hot = join_small(plain, classes_of.distinct(), ["c"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        classes_of = classes_of if of_keys is None else classes_of.unionByName(of_keys)
+        hot = join_small(going.select("c", "in_train", "in_test", "seq"), classes_of.distinct(), ["c"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
         rare = hot.mapInArrow(lambda b: _rare(b, weights, share_inside), "key bigint, c bigint, in_train boolean, in_test boolean, sign bigint, n int")
         n = rare.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_test").alias("ne"), F.min("c").alias("c0"), F.max("c").alias("c1"))
         rare = rare.join(n.where("nt > 0 and ne > 0 and c0 <> c1").select("key"), "key")  # counted before rows move
@@ -492,7 +504,7 @@ def _links(train: DataFrame, test: DataFrame, bits: float, covered: float, share
                 out.append((m, *(covered_tokens(x, y, weights, bits) if s is None else _merged(s, x, y))))
         return pd.DataFrame(out, columns=["matched", "on_train", "on_test"])
 
-    a, b = (classes.select(F.col("number").alias(f"c_{x}"), F.col("c").alias(f"name_{x}"), F.col("seq").alias(f"s_{x}"), F.col("digits").alias(f"d_{x}")) for x in ("train", "test"))
+    a, b = (going.select(F.col("c").alias(f"c_{x}"), F.col("name").alias(f"name_{x}"), F.col("seq").alias(f"s_{x}"), F.col("digits").alias(f"d_{x}")) for x in ("train", "test"))
     longer, shorter = F.greatest(F.size("s_train"), F.size("s_test")), F.least(F.size("s_train"), F.size("s_test"))
     scored = cand.join(a, "c_train").join(b, "c_test").where(F.col("d_train").eqNullSafe(F.col("d_test"))).where(shorter >= share_inside * longer).withColumn("s", score("s_train", "s_test", "spans"))
     near = scored.select(F.col("name_train").alias("c_train"), F.col("name_test").alias("c_test"), "d_test", "s.matched", longer.alias("longest"), shorter.alias("shorter"), (F.least("s.on_train", "s.on_test") / longer).alias("covered"))
